@@ -308,7 +308,8 @@ def near_duplicates(
     )
     buckets = nodes.select("node", F.explode("sketches").alias("sketch"))
     centres = buckets.groupBy("sketch").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre <> other").select("sketch", "centre")
-    stars = buckets.join(centres, "sketch").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    # joins are told to shuffle, so that small and large inputs run the same plan
+    stars = buckets.join(centres.hint("shuffle_hash"), "sketch").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     candidates = components(stars)
     sized = c.cut(candidates.join(nodes.select("node", "n_bytes", "doc_id"), "node"), "candidates")
     shares = sized.groupBy("root").agg((F.sum("n_bytes") / group_bytes).cast("long").alias("more"))
@@ -320,8 +321,8 @@ def near_duplicates(
     # the text of one row a node: rows with a node's id, or, where no id is known, any
     texts = _compressed_texts(docs, id_name, text_name)
     named = sized.select("node", F.col("doc_id").alias("chosen"))
-    picked = texts.join(named, "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "text").dropDuplicates(["node"])
-    sent = picked.join(groups, "node")
+    picked = texts.join(named.hint("shuffle_hash"), "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "text").dropDuplicates(["node"])
+    sent = picked.join(groups.hint("shuffle_hash"), "node")
     links = sent.groupBy("root", "i", "j").applyInArrow(_link_groups(threshold), "a binary, b binary")
     classes = c.cut(components(c.cut(links, "links")), "classes")
     member = rows.select("doc_id", "node").join(classes.hint("shuffle_hash"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
