@@ -34,6 +34,9 @@ THRESHOLD = 0.8
 #: Bytes of text that one group of a component may hold; larger components are dealt out in blocks.
 GROUP_BYTES = 16 << 20
 
+#: Hash values that one step of sketching holds.
+CELLS = 1 << 16
+
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, 4096, dtype=np.uint64)
 
 
@@ -52,16 +55,17 @@ def sketches(shingles: np.ndarray, count: int = SKETCHES, length: int = LENGTH)
     """``count`` order-preserving sketches of a sequence of k-mer hashes."""
     items = c.mix(shingles + occurrence_labels(shingles).astype(np.uint64) * c.U64(0x9E6C63D0876A9A47))
     length = min(length, len(items))
-    out = np.empty(count, np.uint64)
-    for j in range(count):
-        v = (items ^ _SEEDS[j]) * c.U64(0x9E3779B97F4A7C15)
+    out = np.full(count, 0, np.uint64)
+    step = max(1, CELLS // len(items))  # functions evaluated at once, within bounded memory
+    for j in range(0, count, step):
+        v = (items ^ _SEEDS[j : j + step, None][: count - j]) * c.U64(0x9E3779B97F4A7C15)
         v ^= v >> c.U64(29)
         v *= c.U64(0xBF58476D1CE4E5B9)
-        at = np.sort(np.argpartition(v, length - 1)[:length]) if length < len(v) else np.arange(len(v))
-        h = c.U64(j + 1)
-        for x in items[at].tolist():
-            h = c.U64(((int(h) ^ x) * 0xD6E8FEB86659FD93 + 0x2545F491) & 0xFFFFFFFFFFFFFFFF)
-        out[j] = h
+        at = np.sort(np.argpartition(v, length - 1, axis=1)[:, :length], axis=1) if length < len(items) else np.broadcast_to(np.arange(length), (len(v), length))
+        h = np.arange(j + 1, j + 1 + len(v), dtype=np.uint64)
+        for k in range(length):
+            h = (h ^ items[at[:, k]]) * c.U64(0xD6E8FEB86659FD93) + c.U64(0x2545F491)
+        out[j : j + len(v)] = h
     return c.mix(out)
 
 
