@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import polygons
 from ..functions.backend import bind
@@ -30,7 +31,7 @@ def corners(pixels: DataFrame, wcs: Wcs, frame: str, name: str) -> DataFrame:
     return to_sky(pixels, wcs, points, frame).withColumnsRenamed({f"{name}{k}_w{a}": f"{name}_{n}{k}" for k in range(4) for a, n in ((i, "lon"), (j, "lat"))})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def overlap_area(*cells: pd.Series) -> pd.Series:
     """Overlap of two quadrilaterals in steradians: lon, lat of four corners each, in degrees."""
     arrays = [np.asarray(c, float) * D2R for c in cells]
