@@ -74,7 +74,7 @@ def test_kept_text_and_ranges(spark):
     rows = {r.doc_id: r for r in remove_repeated_bytes(df, 35, keep_text=True).collect()}
     assert rows[2].kept == b"cd"
     assert [(x.start, x.stop) for x in rows[2].removed] == [(1, 41)]
-    assert rows[1].n_removed == 2 * 39 or rows[1].n_removed > 0
+    assert rows[1].n_removed == 78  # runs of one letter repeat themselves: all but the first byte of each
 
 
 def test_width_is_checked():
