@@ -69,7 +69,10 @@ def op10_column_bwt(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_piece_offsets, op2_warc_sharded, op3_order_minhash, op4_suffix_trees, op5_decontaminate, op6_line_chunks, op7_gam, op8_rule_ledger, op9_token_rollups, op10_column_bwt)}
 
-_BLANK = r"[\x20\x09-\x0D]+"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_LETTERS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_GRAM = "concat_ws(' ', word, " + ", ".join(f"lead(word, {k}) OVER o" for k in range(1, 13)) + ")"
 
 ORACLE_SQL = {
     "op2_warc_sharded": """
@@ -80,4 +83,44 @@ ORACLE_SQL = {
                CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first IS NOT NULL AND first <> page_id THEN first END AS refers_to
         FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 100""",
+    "op4_suffix_trees": f"""
+        WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS i FROM documents),
+             g AS (SELECT doc_id, i, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, 13))}) AS gram, lead(word, 12) OVER o AS last
+                   FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+             r AS (SELECT gram, min(doc_id) AS first FROM g WHERE last IS NOT NULL GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+             s AS (SELECT DISTINCT doc_id, i FROM g JOIN r ON g.gram = r.gram WHERE last IS NOT NULL AND doc_id > first),
+             c AS (SELECT DISTINCT doc_id, i + k AS i FROM s CROSS JOIN (SELECT unnest(generate_series(0, 12)) AS k))
+        SELECT d.doc_id AS doc_id, count(w.i) AS n_words, count(c.i) AS n_removed,
+               sha256(coalesce(string_agg(CASE WHEN c.i IS NULL THEN w.word END, ' ' ORDER BY w.i), '')) AS kept_sha256
+        FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY d.doc_id""",
+    "op5_decontaminate": f"""
+        WITH w AS (SELECT doc_id, unnest({_LETTERS}) AS word, generate_subscripts({_LETTERS}, 1) AS i FROM documents),
+             b AS (SELECT item_id, unnest({_LETTERS}) AS word, generate_subscripts({_LETTERS}, 1) AS i FROM benchmark),
+             bg AS (SELECT item_id, {_GRAM} AS gram, lead(word, 12) OVER o AS last, count(*) OVER (PARTITION BY item_id) AS n FROM b WINDOW o AS (PARTITION BY item_id ORDER BY i)),
+             long AS (SELECT DISTINCT item_id, gram FROM bg WHERE last IS NOT NULL),
+             short AS (SELECT item_id, string_agg(word, ' ' ORDER BY i) AS gram, count(*) AS n FROM b GROUP BY item_id HAVING count(*) < 13),
+             dg AS (SELECT doc_id, i, {_GRAM} AS gram, lead(word, 12) OVER o AS last FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+             h AS (SELECT doc_id, i, 13 AS n, item_id FROM dg JOIN long ON dg.gram = long.gram WHERE last IS NOT NULL
+                   UNION ALL SELECT dg.doc_id AS doc_id, dg.i AS i, short.n AS n, short.item_id AS item_id FROM dg JOIN short ON starts_with(dg.gram || ' ', short.gram || ' ')),
+             c AS (SELECT DISTINCT doc_id, i + unnest(generate_series(0, n - 1)) AS i FROM h),
+             t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id),
+             k AS (SELECT d.doc_id AS doc_id, count(w.i) AS n_words, count(c.i) AS n_hit FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY d.doc_id)
+        SELECT k.doc_id AS doc_id, n_words, n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated
+        FROM k LEFT JOIN t ON t.doc_id = k.doc_id""",
+    "op8_rule_ledger": f"""
+        WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS i FROM documents),
+             g AS (SELECT doc_id, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS gram, lead(word, 4) OVER o AS last
+                   FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+             r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g WHERE last IS NOT NULL),
+             c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE r.n > 1 GROUP BY doc_id),
+             s AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY doc_id),
+             l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+             u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+             m AS (SELECT d.doc_id AS doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                   coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS n_lines
+                   FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
+             f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+                   + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
+                   + CASE WHEN n_words > 1000000 THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 > 0 AS base_failed, fail_bits % 64 = 0 AS kept, fail_bits FROM f""",
 }
