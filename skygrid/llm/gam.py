@@ -24,6 +24,8 @@ from . import common as c
 #: Labelled rows that training sees at most.
 SAMPLE = 20_000
 HELD_OUT = 5
+#: Bytes of text that are measured at once.
+PART_BYTES = 1 << 20
 
 FEATURES = [
     "log_words", "letters_a_word", "capital_share", "symbol_share", "exclaim_a_word", "bar_a_word", "digit_share", "stop_a_word", "comma_a_word",
@@ -207,12 +209,12 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 24, rounds: int = 150, rate: f
 
 
 def document_batches(rec: pa.RecordBatch, ids: int = 0, text: int = 1):
-    """(first row, Batch) over an Arrow record batch, about PACK_BYTES at a time."""
+    """(first row, Batch) over an Arrow record batch, about PART_BYTES at a time."""
     lens, _, buf = c.text_bytes(rec.column(text))
     off = np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)])
     a = 0
     while a < len(lens):
-        z = min(len(lens), max(a + 1, int(np.searchsorted(off, off[a] + c.PACK_BYTES, "right")) - 1))
+        z = min(len(lens), max(a + 1, int(np.searchsorted(off, off[a] + PART_BYTES, "right")) - 1))
         yield a, c.Batch(0, np.zeros(z - a, np.int64), np.ones(z - a, bool), lens[a:z], buf[off[a] : off[z]])
         a = z
 

@@ -32,7 +32,7 @@ SKETCHES = 32
 LENGTH = 2
 THRESHOLD = 0.8
 #: Bytes of text that one group of a component may hold; larger components are dealt out in blocks.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 
 #: Hash values that one step of sketching holds.
 CELLS = 1 << 16
@@ -152,24 +152,27 @@ def allowed(n: int, m: int, threshold: float) -> int:
     return int((1 - threshold) * max(n, m) + 1e-9)
 
 
-def link(texts: list[list[bytes]], threshold: float, across: int | None = None) -> list[tuple[int, int]]:
+def link(texts, threshold: float, across: int | None = None) -> list[tuple[int, int]]:
     """Links that connect every two similar texts of a group, directly or over others.
 
-    With ``across``, only texts before that place are held against those from it on.  Two texts within the allowed
-    distance share all but that many words, so each shares one of the rarest words of either; texts that are already
-    connected are not aligned.
+    ``texts`` yields the words of one text after another; only their numbers are kept.  With ``across``, only texts before
+    that place are held against those from it on.  Two texts within the allowed distance share all but that many words,
+    so each shares one of the rarest words of either; texts that are already connected are not aligned.
     """
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in t], np.int64) for t in texts]
-    labelled, code = [], {}
-    for d in docs:
-        pairs = d * (1 << 24) + np.minimum(occurrence_labels(d), (1 << 24) - 1) if len(d) else d
-        labelled.append(np.array([code.setdefault(x, len(code)) for x in pairs.tolist()], np.int64))
-    count = np.bincount(np.concatenate(labelled), minlength=len(code)) if code else np.zeros(0, np.int64)
+    docs = [np.array([number.setdefault(w, len(number)) for w in t], np.int32) for t in texts]
+    del number
+    size = np.array([len(d) for d in docs], np.int64)
+    flat = [d.astype(np.int64) * (1 << 31) + occurrence_labels(d) for d in docs]
+    # the n-th occurrence of a word is a token of its own
+    code = np.unique(np.concatenate(flat), return_inverse=True)[1].ravel() if docs else np.zeros(0, np.int64)
+    labelled = np.split(code, np.cumsum(size)[:-1]) if docs else []
+    del flat
+    count = np.bincount(code)
     rank = np.empty(len(count), np.int64)
     rank[np.lexsort((np.arange(len(count)), count))] = np.arange(len(count))
     tokens = [np.sort(rank[x]) for x in labelled]
-    parent = list(range(len(texts)))
+    parent = list(range(len(docs)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -270,7 +273,7 @@ def _link_groups(threshold: float):
         by = sorted(range(len(nodes)), key=lambda i: (side[i], nodes[i]))
         by = [i for k, i in enumerate(by) if k == 0 or nodes[i] != nodes[by[k - 1]]]
         across = sum(side[i] == 0 for i in by) if any(side) else None
-        found = link([z.decompress(texts[i]).split() for i in by], threshold, across)
+        found = link((z.decompress(texts[i]).split() for i in by), threshold, across)
         return pa.table({"a": pa.array([nodes[by[i]] for i, _ in found], pa.binary()), "b": pa.array([nodes[by[j]] for _, j in found], pa.binary())})
 
     return run
