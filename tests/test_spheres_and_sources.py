@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from skygrid.functions.wcs import Wcs
 from skygrid.operators import coverage, hips, spherical
 from skygrid.raster import Grid, Raster, to_array
-from skygrid.sources import fits, png, tiles
+from skygrid.sources import fits, png, tiles, tree
 from skygrid.streaming import coadd as stream
 
 #: The 30 x 40 image at (30, 40) whose tiles and map pixels are known.
@@ -103,3 +103,25 @@ def test_stream_of_exposures(spark, tmp_path):
     folder(spark.read.schema(schema).parquet(str(source)).limit(0), 99)
     got = {(r.y, r.x): r.value for r in stream.mean(folder.mosaic(spark)).collect()}
     assert got == {(i % 3, i // 3): i + 1.0 for i in range(12)}
+
+
+def test_trees_of_tiles(spark, tmp_path):
+    rows = [(k, p, y, x, float(y * 4 + x) if (y, x) != (1, 1) else None) for k, p in ((1, 3), (1, 40), (0, 10)) for y in range(4) for x in range(4)]
+    made = spark.createDataFrame(rows, "norder int, npix long, y long, x long, value double")
+    folder = f"file://{tmp_path}/tree"
+    (tmp_path / "tree").mkdir()
+    assert tree.write_tree(made, folder, 4, 1, "galactic", title="a = b", properties={"note": "x"}).count() == 3
+    back = tree.read_tree(spark, folder)
+    assert back.where("value is null").count() == 3
+    assert back.where("norder = 1 and npix = 40 and y = 2 and x = 3").first().value == 11.0
+    found = tree.read_properties(folder)
+    assert found["hips_frame"] == "galactic" and found["obs_title"] == "a = b" and found["hips_order"] == "1"
+    assert (tmp_path / "tree" / "Norder1" / "Dir0" / "Npix40.fits").exists() and (tmp_path / "tree" / "index.html").exists()
+    with pytest.raises(FileExistsError):
+        tree.write_tree(made, folder, 4, 1)
+    with pytest.raises(ValueError):
+        tree.write_tree(made, f"file://{tmp_path}/other", 4, 1, properties={"hips_order": 3})
+    colours = made.where("norder = 0").crossJoin(spark.range(3).withColumnRenamed("id", "plane"))
+    assert tree.write_tiles(colours, f"file://{tmp_path}/png", 4, "png").count() == 1
+    pixels = png.read(spark, str(tmp_path / "png"))
+    assert pixels.count() == 4 * 16 and pixels.where("plane = 3 and value = 0").count() == 1
