@@ -14,7 +14,8 @@ All operators that look for equal windows (words, bytes or line chunks) share th
 4. *finish*: each batch receives its runs of repeated windows and writes one row a document.
 
 Each pass ends in a durable table or a shuffle keyed by bucket or batch; nothing is gathered on the
-driver and no value of a hash decides that two windows are equal.
+driver.  Two windows count as equal after a comparison of their symbols only, never by a 64-bit hash; whole
+texts count as copies by their 128-bit BLAKE2 digest.
 """
 
 from __future__ import annotations
