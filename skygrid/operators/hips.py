@@ -92,7 +92,7 @@ def to_tiles(raster: Raster, frame: str, tile: int = 512, level: int | None = No
 
 
 def merge_borders(layers: DataFrame) -> DataFrame:
-    """Footprint-weighted mean of several reprojections of the same tile pixels."""
+    """Footprint-weighted mean of several layers of the same tile pixels."""
     keys = [k for k in ("norder", "npix", "plane", "y", "x") if k in layers.columns]
     got = layers.where("value is not null and footprint > 0").groupBy(*keys).agg(F.sum(F.col("value") * F.col("footprint")).alias("t"), F.sum("footprint").alias("f"))
     return got.select(*keys, F.try_divide("t", "f").alias("value"), F.least(F.lit(1.0), F.col("f")).alias("footprint"))
