@@ -60,6 +60,8 @@ def partitions(spark: SparkSession) -> int:
 # --- packed corpora -------------------------------------------------------------------------
 
 PACK_BYTES = 4 << 20
+#: Bytes of one Arrow batch on the way to Python.
+ARROW_BYTES = 4 << 20
 PACK_SCHEMA = "batch long, doc_ids binary, known binary, lens binary, blob binary, rest binary"
 _PACK = pa.schema([("batch", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "known", "lens", "blob", "rest"))])
 
@@ -164,7 +166,11 @@ def pack_documents(docs: DataFrame, id_name: str = "doc_id", text_name: str = "t
 
 
 def select_documents(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text and the carried columns under their inner names."""
+    """doc_id, text and the carried columns under their inner names.
+
+    Arrow batches of the session are bounded in bytes, as texts may be long: a batch holds ARROW_BYTES or one row.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     cell = lambda k: F.col("`" + k.replace("`", "``") + "`")
     return docs.select(cell(id_name).cast("long").alias("doc_id"), cell(text_name).cast("string").alias("text"), *(cell(k).alias(CARRIED + k) for k in carry or []))
 

@@ -325,10 +325,10 @@ def near_duplicates(
     # a block meets itself and each other block: blocks i <= j form a group, of which i is side 0
     groups = placed.select("node", "root", F.explode(F.expr("transform(sequence(0L, more), x -> struct(least(x, block) as i, greatest(x, block) as j, if(x < block, 1, 0) as side))")).alias("g"))
     groups = groups.select("node", "root", "g.i", "g.j", "g.side").distinct()
-    # the text of one row a node: rows with a node's id, or, where no id is known, any
+    # the text of the row that stands for a node; should rows repeat, the group drops the others
     texts = _compressed_texts(docs, id_name, text_name)
     named = sized.select("node", F.col("doc_id").alias("chosen"))
-    picked = texts.join(named.hint("shuffle_hash"), "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "text").dropDuplicates(["node"])
+    picked = texts.join(named.hint("shuffle_hash"), "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "text")
     sent = picked.join(groups.hint("shuffle_hash"), "node")
     links = sent.groupBy("root", "i", "j").applyInArrow(_link_groups(threshold), "a binary, b binary")
     classes = c.cut(components(c.cut(links, "links")), "classes")
