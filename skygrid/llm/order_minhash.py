@@ -4,19 +4,25 @@ A sketch takes, under one hash function, the ``length`` least occurrence-labelle
 shingles; the n-th occurrence of a shingle is an element of its own) and keeps them in text order, so
 two texts share a sketch when they share the k-mers *and* their order: a measure of edit similarity.
 
-1. Texts with equal words are one node; sketches are made once a text and travel without the text.
-2. Texts that share a sketch are candidates.  Each bucket contributes a star around its least node, and
-   the stars' connected components bound what can be similar; no pairs of a bucket are written.
-3. Each candidate text travels once, to the group of its component (a component too large for one task
-   is dealt out in blocks, and pairs of blocks meet).  Inside a group, texts are linked if their word
+1. Texts with equal words are one node.  Texts of more than ``SHORT`` words have sketches.
+2. Shorter texts are found exactly: cut into one part more than the edits allowed, a text shares a part, at
+   nearly the same place, with every text similar to it.  Parts are keyed by content, length of the text,
+   edits allowed and number of the part; texts up to the longest that can be similar look for them.
+3. Only 64-bit keys and nodes travel, packed, to the bucket of the key.  Texts that share a key are
+   candidates.  Each key contributes a star around its least node, and the stars' connected components
+   bound what can be similar; no pairs of a key are written.
+4. Each candidate text travels once, to the group of its component (a component too large for one task
+   is dealt out in classes of length and blocks; blocks of one class or of neighbouring ones meet).  Inside a group, texts are linked if their word
    edit distance is at most (1 - threshold) of the longer one, by banded alignment; a prefix filter on
    their rarest words finds the texts to compare, and texts already connected are not compared again.
-4. Components of the verified links are the classes.
+5. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
+from .exchange import bucket_of, split_by
 from .gam import document_batches
 
 K = 5
-SKETCHES = 32
+SKETCHES = 192
 LENGTH = 2
 THRESHOLD = 0.8
+#: Texts of at most so many words are compared by parts, which misses no similar pair.
+SHORT = 40
 #: Bytes of text that one group of a component may hold; larger components are dealt out in blocks.
 GROUP_BYTES = 4 << 20
 
@@ -61,7 +70,14 @@ def sketches(shingles: np.ndarray, count: int = SKETCHES, length: int = LENGTH)
         v = (items ^ _SEEDS[j : j + step, None][: count - j]) * c.U64(0x9E3779B97F4A7C15)
         v ^= v >> c.U64(29)
         v *= c.U64(0xBF58476D1CE4E5B9)
-        at = np.sort(np.argpartition(v, length - 1, axis=1)[:, :length], axis=1) if length < len(items) else np.broadcast_to(np.arange(length), (len(v), length))
+        if length == 2 < len(items):  # two least values, without a partition of all
+            rows = np.arange(len(v))
+            first = v.argmin(axis=1)
+            v[rows, first] = np.iinfo(np.uint64).max
+            second = v.argmin(axis=1)
+            at = np.stack([np.minimum(first, second), np.maximum(first, second)], axis=1)
+        else:
+            at = np.sort(np.argpartition(v, length - 1, axis=1)[:, :length], axis=1) if length < len(items) else np.broadcast_to(np.arange(length), (len(v), length))
         h = np.arange(j + 1, j + 1 + len(v), dtype=np.uint64)
         for k in range(length):
             h = (h ^ items[at[:, k]]) * c.U64(0xD6E8FEB86659FD93) + c.U64(0x2545F491)
@@ -233,37 +249,164 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-NODE_SCHEMA = "doc_id long, node binary, n_bytes long, sketches array<long>"
+@lru_cache(maxsize=None)
+def _parts(n: int, threshold: float, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, behind the last, tag, is a part) of all keys of a text of n words, parts and those it looks for.
+
+    If two texts of l <= n words are at most d edits apart and the shorter is cut into d + 1 parts, some part i lies
+    unchanged in the longer, shifted by at most i edits before it and d - i edits behind it.
+    """
+    rows = set()
+
+    def cut(size: int, d: int):
+        edges = [size * i // (d + 1) for i in range(d + 2)]
+        return enumerate(zip(edges, edges[1:]))
+
+    if n <= short:
+        longest = n
+        while longest + 1 - n <= allowed(longest + 1, longest + 1, threshold) and longest < 50 * n:
+            longest += 1
+        for d in range(allowed(n, n, threshold), allowed(longest, longest, threshold) + 1):
+            rows |= {(a, z, (n << 40) | (d << 20) | i, 1) for i, (a, z) in cut(n, d)}
+    d = allowed(n, n, threshold)
+    for size in range(max(1, n - d), min(n, short) + 1):
+        more = n - size
+        for i, (a, z) in cut(size, d):
+            for at in range(max(0, a - i, a + more - d + i), min(n - (z - a), a + i, a + more + d - i) + 1):
+                rows.add((at, at + z - a, (size << 40) | (d << 20) | i, 0))
+    out = np.array(sorted(rows), np.int64).reshape(-1, 4)
+    return out[:, 0], out[:, 1], c.mix(out[:, 2].astype(np.uint64)), out[:, 3].astype(np.uint64)
+
+
+def candidate_keys(words: np.ndarray, threshold: float = THRESHOLD, count: int = SKETCHES, length: int = LENGTH, k: int = K, short: int = SHORT) -> np.ndarray:
+    """Keys of a text of some word hashes: texts may be similar if they share a key without its lowest bit, which one has set."""
+    n, out = len(words), []
+    if n - allowed(n, n, threshold) <= short:
+        starts, stops, tags, part = _parts(n, threshold, short)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * c._POW[:n], out=total[1:])
+        h = c.mix((total[stops] - total[starts]) * c._INV[starts] ^ tags)
+        out.append(np.unique((h & ~c.U64(1)) | part))
+    if n > short:
+        out.append(sketches(c.mix(c.grams(words, min(k, n))), count, length) | c.U64(1))
+    return np.concatenate(out)
+
 
+NODE_SCHEMA = "doc_id long, node binary, nid long, n_bytes long, n_words long"
 
-def sketch_documents(docs: DataFrame, count: int = SKETCHES, length: int = LENGTH, k: int = K, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
-    """doc_id, node (digest of the words; null without words), n_bytes and sketches of every document."""
+
+def _words(b: c.Batch, i: int) -> bytes:
+    return b" ".join(b.text(i).split())
+
+
+def node_documents(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
+    """doc_id, node (digest of the words; null without words), its first 8 bytes, n_bytes and n_words of every document."""
 
     def run(records):
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_bytes", pa.int64()), ("sketches", pa.list_(pa.int64()))])
-        seen: dict[bytes, np.ndarray] = {}
         for rec in records:
             for a, b in document_batches(rec):
+                words = [_words(b, i) for i in range(len(b))]
+                nodes = [hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words]
+                short = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in nodes]
+                cells = [rec.column(0).slice(a, len(b)), pa.array(nodes, pa.binary()), pa.array(short, pa.int64()), pa.array(b.lens, pa.int64()), pa.array([w.count(b" ") + 1 for w in words], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "node", "nid", "n_bytes", "n_words"])
+
+    return c.select_documents(docs, id_name, text_name).mapInArrow(run, NODE_SCHEMA)
+
+
+def by_key(keys: np.ndarray, nids: np.ndarray):
+    """Keys and nodes ascending, each key's least node, and whether a part or sketch has the key (else texts only look for the same)."""
+    order = np.lexsort((nids, keys >> c.U64(1)))
+    keys, nids = keys[order], nids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] >> c.U64(1) != keys[:-1] >> c.U64(1)
+    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+    part = np.maximum.reduceat(keys & c.U64(1), begin)[group] == 1
+    # equal nodes of a key are one
+    part_first = nids[begin][group]
+    same = np.zeros(len(keys), bool)
+    same[1:] = ~new[1:] & (nids[1:] == nids[:-1])
+    keep = ~same
+    return keys[keep], nids[keep], part_first[keep], part[keep]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs that connect the same nodes as the edges (a, b), one less than nodes."""
+    differ = a != b
+    pairs = np.unique(np.stack([a[differ], b[differ]], axis=1), axis=0)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    for x, y in pairs.tolist():
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    out = [(x, root(x)) for x in parent]
+    return np.array([p for p in out if p[0] != p[1]], np.int64).reshape(-1, 2)
+
+
+#: Keys that are held before they are sent.
+HELD = 1 << 20
+
+
+def _send_keys(buckets: int, threshold: float, count: int, length: int, k: int, short: int):
+    def run(records):
+        held, size = [], 0
+
+        def out():
+            keys = np.concatenate([x for x, _ in held])
+            nids = np.repeat(np.array([n for _, n in held], np.int64), [len(x) for x, _ in held])
+            keys, nids, centre, part = by_key(keys, nids)
+            edges = forest(nids[part], centre[part])
+            # what shares a key here is settled here; its least node stands for it elsewhere
+            stay = ~part | (nids == centre)
+            keys, nids = keys[stay] | part[stay], nids[stay]
+            parts = [(-1 - int(keys[0] % c.U64(buckets)), edges.tobytes())] if len(edges) else []
+            parts += [(i, keys[at].tobytes() + nids[at].tobytes()) for i, at in split_by(bucket_of(keys, buckets), buckets)]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "data"])
+
+        seen: set[int] = set()
+        for rec in records:
+            for _, b in document_batches(rec):
                 starts, ends, first = c.word_bounds(b, c.BLANK_WORD)
                 h = c.segment_hash(np.frombuffer(b.buf, np.uint8), starts, ends)
-                nodes, rows = [], []
                 for i in range(len(b)):
-                    words = h[first[i] : first[i + 1]]
-                    if not len(words):
-                        nodes.append(None)
-                        rows.append(None)
+                    if first[i] == first[i + 1]:
                         continue
-                    node = hashlib.blake2b(b" ".join(b.text(i).split()), digest_size=16).digest()
-                    nodes.append(node)
-                    if node not in seen:
-                        if len(seen) > 20_000:
-                            seen.clear()
-                        seen[node] = sketches(c.mix(c.grams(words, min(k, len(words)))), count, length).view(np.int64)
-                    rows.append(seen[node])
-                ids = rec.column(0).slice(a, len(b))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(b.lens, pa.int64()), pa.array(rows, schema.field(3).type)], schema=schema)
+                    nid = int.from_bytes(hashlib.blake2b(_words(b, i), digest_size=16).digest()[:8], "little", signed=True)
+                    if nid in seen:
+                        continue
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(nid)
+                    held.append((candidate_keys(h[first[i] : first[i + 1]], threshold, count, length, k, short), nid))
+                    size += len(held[-1][0])
+                    if size >= HELD:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
 
-    return c.select_documents(docs, id_name, text_name).mapInArrow(run, NODE_SCHEMA)
+    return run
+
+
+def _stars(table: pa.Table) -> pa.Table:
+    """Edges from each key's least node to its others, as few as connect them."""
+    data = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("data")]
+    if table.column("bucket")[0].as_py() < 0:
+        pairs = np.concatenate(data).view(np.int64).reshape(-1, 2)
+    else:
+        keys = np.concatenate([x[: len(x) // 2] for x in data])
+        nids = np.concatenate([x[len(x) // 2 :] for x in data]).view(np.int64)
+        del data
+        keys, nids, centre, part = by_key(keys, nids)
+        pairs = forest(nids[part], centre[part])
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def _link_groups(threshold: float):
@@ -298,39 +441,48 @@ def _compressed_texts(docs: DataFrame, id_name: str, text_name: str) -> DataFram
 
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, count: int = SKETCHES, length: int = LENGTH, k: int = K, group_bytes: int = GROUP_BYTES,
-    id_name: str = "doc_id", text_name: str = "text",
+    short: int = SHORT, id_name: str = "doc_id", text_name: str = "text",
 ) -> DataFrame:
     """doc_id and class_id (the least id of its class) of every document.
 
     Two texts are similar if their word edit distance is at most (1 - threshold) of the longer one's words; classes are
-    the connected components of similar texts that share a sketch.  Texts of fewer than k words have one shingle, all
-    their words.  Texts without words (null ones too) are alone, each row its own class.  Rows that share an id may fall in
+    the connected components of similar texts.  Every similar pair is found of which a text has at most ``short`` words;
+    two longer texts are found if they share a sketch.  Texts without words (null ones too) are alone, each row its own class.  Rows that share an id may fall in
     different classes; a null id gets the class of its text, null if no row of the class has an id.
     """
-    rows = c.cut(sketch_documents(docs, count, length, k, id_name, text_name), "sketches")
+    rows = c.cut(node_documents(docs, id_name, text_name), "rows")
     # one document stands for all rows with its words
     nodes = c.cut(
-        rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_bytes", "sketches")).alias("r"))
-        .select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.n_bytes").alias("n_bytes"), F.col("r.sketches").alias("sketches")), "nodes",
+        rows.where("node is not null").groupBy("node", "nid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_bytes", "n_words")).alias("r"))
+        .select("node", "nid", F.col("r.doc_id").alias("doc_id"), F.col("r.n_bytes").alias("n_bytes"), F.col("r.n_words").alias("n_words")), "nodes",
     )
-    buckets = nodes.select("node", F.explode("sketches").alias("sketch"))
-    centres = buckets.groupBy("sketch").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre <> other").select("sketch", "centre")
+    buckets = max(16, c.partitions(docs.sparkSession))
+    keys = c.select_documents(docs, id_name, text_name).mapInArrow(_send_keys(buckets, threshold, count, length, k, short), "bucket int, data binary")
+    stars = keys.groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    # two nodes of one nid are in the same component, where their texts tell them apart
+    candidates = components(stars).withColumnRenamed("node", "nid")
     # joins are told to shuffle, so that small and large inputs run the same plan
-    stars = buckets.join(centres.hint("shuffle_hash"), "sketch").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    candidates = components(stars)
-    sized = c.cut(candidates.join(nodes.select("node", "n_bytes", "doc_id"), "node"), "candidates")
+    sized = c.cut(nodes.join(candidates.hint("shuffle_hash"), "nid").select("node", "root", "n_bytes", "n_words", "doc_id"), "candidates")
     shares = sized.groupBy("root").agg((F.sum("n_bytes") / group_bytes).cast("long").alias("more"))
-    block = F.pmod(F.xxhash64("node"), F.col("more") + 1)
-    placed = sized.join(shares, "root").select("node", "root", "more", block.alias("block"))
-    # a block meets itself and each other block: blocks i <= j form a group, of which i is side 0
-    groups = placed.select("node", "root", F.explode(F.expr("transform(sequence(0L, more), x -> struct(least(x, block) as i, greatest(x, block) as j, if(x < block, 1, 0) as side))")).alias("g"))
-    groups = groups.select("node", "root", "g.i", "g.j", "g.side").distinct()
+    # similar texts are of one class of length or of neighbouring ones
+    step = 1e-6 - math.log(threshold) if 0 < threshold <= 1 else math.inf
+    level = F.when(F.col("more") > 0, F.floor(F.log(F.col("n_words").cast("double")) / F.lit(step))).otherwise(F.lit(0)).cast("long")
+    placed = sized.join(shares, "root").select("node", "root", "n_bytes", "more", level.alias("level"))
+    blocks = placed.groupBy("root", "level").agg((F.sum("n_bytes") / group_bytes).cast("long").alias("last"))
+    own = placed.join(blocks, ["root", "level"]).select("node", "root", "more", "level", F.pmod(F.xxhash64("node"), F.col("last") + 1).alias("block"))
+    meets = own.select("*", F.explode(F.expr("if(more > 0, array(-1L, 0L, 1L), array(0L))")).alias("to"))
+    meets = meets.join(blocks.select("root", F.col("level").alias("other"), F.col("last").alias("others")), (F.col("other") == F.col("level") + F.col("to")) & (meets["root"] == blocks["root"])).drop(blocks["root"])
+    # a block meets itself and each other block: two blocks, the lower one side 0, form a group
+    groups = meets.select("node", "root", F.least("level", "other").alias("low"), (F.col("to") != 0).alias("mixed"), F.explode(F.expr(
+        "transform(sequence(0L, others), x -> if(to = 0, struct(least(x, block) as i, greatest(x, block) as j, if(x < block, 1, 0) as side), if(to > 0, struct(block as i, x as j, 0 as side), struct(x as i, block as j, 1 as side))))"
+    )).alias("g"))
+    groups = groups.select("node", "root", "low", "mixed", "g.i", "g.j", "g.side").distinct()
     # the text of the row that stands for a node; should rows repeat, the group drops the others
     texts = _compressed_texts(docs, id_name, text_name)
     named = sized.select("node", F.col("doc_id").alias("chosen"))
     picked = texts.join(named.hint("shuffle_hash"), "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "text")
     sent = picked.join(groups.hint("shuffle_hash"), "node")
-    links = sent.groupBy("root", "i", "j").applyInArrow(_link_groups(threshold), "a binary, b binary")
+    links = sent.groupBy("root", "low", "mixed", "i", "j").applyInArrow(_link_groups(threshold), "a binary, b binary")
     classes = c.cut(components(c.cut(links, "links")), "classes")
     member = rows.select("doc_id", "node").join(classes.hint("shuffle_hash"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     member = c.cut(member, "members")

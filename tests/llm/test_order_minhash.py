@@ -92,3 +92,45 @@ def test_components(spark):
     edges = [(b"%03d" % i, b"%03d" % (i + 1)) for i in range(40) if i != 20] + [(b"900", b"000"), (b"5", b"5")]
     got = dict(map(lambda r: (bytes(r.node), bytes(r.root)), om.components(spark.createDataFrame(edges, "a binary, b binary")).collect()))
     assert {got[b"%03d" % i] for i in range(21)} == {b"000"} and {got[b"%03d" % i] for i in range(21, 41)} == {b"021"} and got[b"900"] == b"000" and b"5" not in got
+
+
+def edited(rng, ws, edits, new):
+    """At most so many substituted, inserted or deleted words, at random places."""
+    out = list(ws)
+    for _ in range(edits):
+        at = rng.randrange(len(out)) if out else 0
+        out[at : at + rng.randint(0, 1)] = [new()] if rng.random() < 0.7 else []
+    return out
+
+
+def test_short_texts_share_a_part_with_every_similar_text():
+    rng = random.Random(11)
+    new = lambda: rng.getrandbits(63)
+    for n in range(1, 51):
+        for _ in range(25):
+            a = [new() for _ in range(n)]
+            b = edited(rng, a, om.allowed(n, n, 0.8), new) or a
+            if min(len(a), len(b)) > om.SHORT or distance(a, b) > om.allowed(len(a), len(b), 0.8):
+                continue
+            x, y = (om.candidate_keys(np.array(t, np.uint64)) for t in (a, b))
+            assert len(set((x >> np.uint64(1)).tolist()) & set((y >> np.uint64(1)).tolist())), (a, b)
+
+
+def test_isolated_pairs_just_above_the_threshold(spark):
+    rng = random.Random(12)
+    new = lambda: "%09x" % rng.getrandbits(36)
+    rows, pairs = [], {}
+    for n in (10, 20, 40, 60, 100, 400):
+        for share in (0.8, 0.82, 0.85):
+            for _ in range(20):
+                a = [new() for _ in range(n)]
+                b = list(a)
+                for at in rng.sample(range(n), om.allowed(n, n, share)):
+                    b[at] = new()
+                pairs[len(rows)] = n, share
+                rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i + 1] in (i, i + 1) and got[i] == i for i in pairs)
+    for n in (10, 20, 40, 60, 100, 400):
+        found = [got[i + 1] == i for i, (m, _) in pairs.items() if m == n]
+        assert sum(found) >= (1 if n <= om.SHORT else 0.93) * len(found), (n, sum(found), len(found))
