@@ -4,6 +4,10 @@ A rolling hash over the hashes of the last ``roll`` lines puts a boundary behind
 into one of ``mean`` classes, so boundaries follow the content and move with it when lines are inserted
 elsewhere.  Chunks of several lines that occur again anywhere in the collection are candidates; they are
 compared byte by byte, the earliest stays and the others are removed.
+
+A repeated passage need not hold a whole chunk, and goes on beyond those it holds.  Therefore each line with
+words and the next one (with the blank lines between) are a chunk of their own as well: these overlap, so
+every line of a repeated passage of two or more lines with words is removed, up to both ends.
 """
 
 from __future__ import annotations
@@ -65,9 +69,18 @@ class LineChunks(Windows):
         words = np.zeros(len(raw) + 1, np.int64)
         np.cumsum(c.BLANK_WORD[raw], out=words[1:])
         full = np.concatenate([np.zeros(1, np.int64), np.cumsum(words[ends] > words[starts])])
-        multi = full[z] - full[a] >= 2
+        some = words[ends] > words[starts]
+        # a chunk of two lines with words, and no others at its ends, is a pair already
+        multi = (full[z] - full[a] > 2) | (full[z] - full[a] == 2) & ~(some[a] & some[z - 1])
         a, z = a[multi], z[multi]
         key = c.segment_hash(raw, starts[a], ends[z - 1])
+        own = np.flatnonzero(some)
+        p, q = own[:-1], own[1:]
+        inside = np.repeat(np.arange(len(b)), np.diff(first))
+        one = inside[p] == inside[q]
+        p, q = p[one], q[one]
+        key = np.concatenate([key, c.mix(c.mix(h[p] + c.U64(1)) + h[q] * c.U64(c.P))])
+        a, z = np.concatenate([a, p]), np.concatenate([z, q + 1])
         doc = np.searchsorted(first, a, "right") - 1
         return Segments(key, doc, a, z, a), (starts, ends, first)
 
@@ -119,10 +132,11 @@ class LineChunks(Windows):
 def remove_repeated_chunks(
     docs: DataFrame, mean: int = 4, roll: int = 2, keep_text: bool = False, carry: list[str] | None = None, id_name: str = "doc_id", text_name: str = "text"
 ) -> DataFrame:
-    """Remove every multi-line chunk whose bytes also occur as a chunk earlier in the collection.
+    """Remove every passage of several lines, at least two of which hold a word, that also occurs earlier in the collection.
 
-    Earlier: in a document with a smaller id, or before it in the same document.  A chunk of several lines has
-    at least two that hold a word; single lines always stay.  ``n_chunks_removed`` counts maximal removed runs
+    Earlier: in a document with a smaller id, or before it in the same document.  Lines are compared whole; a passage
+    ends with its first and last line that holds a word, or with those of a content-defined chunk.  A line that is
+    repeated without a neighbour stays.  ``n_chunks_removed`` counts maximal removed runs
     of lines.  A null text is one empty line; a null id comes last; rows that share an id are separate, of which
     none is earlier.  ``keep_text`` adds the text that is left (lines joined by newlines), ``carry`` further columns
     under the prefix of ``common.CARRIED``.

@@ -71,3 +71,19 @@ def test_stage_keeps_columns(spark):
     assert all(r.n_removed == "keep" and (r.text is None or r.n_chars == len(r.text)) for r in got)
     assert any(r.doc_id == 92 and r.text is None for r in got) and any(r.doc_id == 93 for r in got)
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_passages_go_as_a_whole(spark):
+    rng = random.Random(21)
+    line = lambda: " ".join("%08x" % rng.getrandbits(32) for _ in range(rng.randint(5, 12)))
+    data, want = [], {}
+    for n in (2, 3, 4, 6, 10, 20) * 5:
+        passage = [line() for _ in range(n)]
+        if n > 4:
+            passage[2] = " "
+        for k in range(2):
+            head, tail = [line() for _ in range(rng.randint(1, 8))], [line() for _ in range(rng.randint(1, 8))]
+            want[len(data)] = n if k else 0
+            data.append((len(data), "\n".join([*head, *passage, *tail])))
+    got = remove_repeated_chunks(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want
