@@ -238,12 +238,17 @@ def parse_properties(lines: DataFrame) -> DataFrame:
     return rows.select(F.trim(F.col("p")[0]).alias("key"), F.trim(F.col("p")[1]).alias("value"))
 
 
+def pixel_cut(tiles: DataFrame) -> tuple[float | None, float | None]:
+    """The least and the largest value of a tile set; None without values."""
+    return tuple(tiles.agg(F.min("value"), F.max("value")).first())
+
+
 def properties_of(tiles: DataFrame, frame: str, tile: int, level: int, title: str, own: dict | None = None) -> dict:
     """Properties of a tile set; ``own`` may add but not override."""
     for k in own or {}:
         if k in RESERVED:
             raise ValueError(f"Cannot override property {k}")
-    low, high = tiles.agg(F.min("value"), F.max("value")).first()
+    low, high = pixel_cut(tiles)
     out = {
         "obs_title": title, "hips_version": "1.4", "hips_status": "public master clonableOnce", "hips_tile_format": "parquet", "hips_tile_width": tile, "hips_order": level,
         "hips_frame": frame, "dataproduct_type": "image",

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import healpix as hp
 from ..functions import spectral
 from ..functions.wcs import Wcs, change_frame, move
-from ..operators import adaptive, background, bounds, coverage, hips, interpolate, mosaic, overlap, spherical, target
+from ..operators import adaptive, background, bounds, coverage, hips, interpolate, mosaic, overlap, planes as raster_ops, spherical, target
 from ..raster import Grid, Raster
 from ..sources import tiles as tile_tables
-from ..storage import cut
+from ..storage import cut, shared_path
 from . import rasters as r
-from .rasters import CUBE_SQL, EV_SQL, EXPOSURES_SQL, HOLES_SQL, ORD_SQL, TILES_SQL, linear
+from .rasters import CUBE_SQL, EV_SQL, EXPOSURES_SQL, HOLES_SQL, ORD_SQL, ORDER_TILES_SQL, ROOT_SQL, TILES_SQL, UNROLLED, linear, nested_sql, order_sql, ring_centres_sql, ring_info_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,15 +50,17 @@ def src_shape(spark, sf_dir):
     return raster.pixels.agg(F.count("value").alias("n")).select(F.lit("ev").alias("name"), F.lit(raster.ny).cast("long").alias("ny"), F.lit(raster.nx).cast("long").alias("nx"), "n")
 
 
-@query("""SELECT i // 8 AS y, i % 8 AS x, 5.0::DOUBLE + 2.0::DOUBLE * (i % 8 - 1) AS wx, -3.0::DOUBLE + 0.5::DOUBLE * (i // 8 - 2) AS wy
-    FROM (SELECT unnest(generate_series(0, 47)) AS i)""")
+@query("""SELECT y, x, 5.0::DOUBLE + 2.0::DOUBLE * (x - 1) AS wx, -3.0::DOUBLE + 0.5::DOUBLE * (y - 2) AS wy
+    FROM (SELECT unnest(generate_series(0, (SELECT max(event_id) // 100 FROM events))) AS y) CROSS JOIN (SELECT unnest(generate_series(0, 99)) AS x)""")
 def grid_output(spark, sf_dir):
-    grid = Grid.parse({"NAXIS": 2, "NAXIS1": 8, "NAXIS2": 6, "CRPIX1": 2.0, "CRPIX2": 3.0, "CDELT1": 2.0, "CDELT2": 0.5, "CRVAL1": 5.0, "CRVAL2": -3.0}, (1, 1))
+    """The header's shape, that of the events' image, wins over the other one."""
+    ny, nx = r.events(spark, sf_dir).shape
+    grid = Grid.parse({"NAXIS": 2, "NAXIS1": nx, "NAXIS2": ny, "CRPIX1": 2.0, "CRPIX2": 3.0, "CDELT1": 2.0, "CDELT2": 0.5, "CRVAL1": 5.0, "CRVAL2": -3.0}, (1, 1))
     wx, wy = grid.wcs.pixel_to_world(F.col("x").cast("double"), F.col("y").cast("double"))
     return grid.pixels(spark).select("y", "x", wx.alias("wx"), wy.alias("wy"))
 
 
-@query("SELECT event_id AS ipix, value FROM events WHERE event_id < 768")
+@query("SELECT event_id AS ipix, value FROM events")
 def hpx_source(spark, sf_dir):
     return r.healpix_map(spark, sf_dir)
 
@@ -70,18 +72,25 @@ def tile_assign(spark, sf_dir):
 
 @query(f"SELECT 0::BIGINT AS plane, y, x, value FROM ({HOLES_SQL})")
 def sink_tiles_roundtrip(spark, sf_dir):
+    """Written as files partitioned by tile, read back, packed to arrays and unpacked."""
     raster = r.holes(spark, sf_dir)
-    return tile_tables.from_arrays(tile_tables.to_arrays(raster.pixels, raster.shape, 16), 16)
+    path = shared_path(spark, "tiles")
+    tile_tables.write(raster.pixels, path, 16)
+    stored = tile_tables.read(spark, path).select("plane", "y", "x", "value")
+    return tile_tables.from_arrays(tile_tables.to_arrays(stored, raster.shape, 16), 16)
 
 
-@query("""SELECT CASE WHEN coalesce(r, g, b) IS NULL THEN NULL ELSE p END AS pix, CASE WHEN r IS NULL OR g IS NULL OR b IS NULL THEN 0 ELSE a END AS alpha FROM (
-    SELECT event_id // 3 AS p, max(CASE WHEN event_id % 3 = 0 AND event_type <> 'error' THEN value END) AS r, max(CASE WHEN event_id % 3 = 1 AND event_type <> 'error' THEN value END) AS g,
-    max(CASE WHEN event_id % 3 = 2 AND event_type <> 'error' THEN value END) AS b, 255 AS a FROM events GROUP BY 1)""")
+@query("""SELECT p AS y, 0::BIGINT AS x, CASE WHEN r IS NULL OR g IS NULL OR b IS NULL THEN 0 ELSE floor(r)::INTEGER % 256 END AS red, CASE WHEN r IS NULL OR g IS NULL OR b IS NULL THEN 0 ELSE floor(g)::INTEGER % 256 END AS green,
+    CASE WHEN r IS NULL OR g IS NULL OR b IS NULL THEN 0 ELSE floor(b)::INTEGER % 256 END AS blue, CASE WHEN r IS NULL OR g IS NULL OR b IS NULL THEN 0 ELSE floor(255 * a)::INTEGER END AS alpha FROM (
+    SELECT event_id // 3 AS p, max(CASE WHEN event_id % 3 = 0 AND event_type <> 'error' THEN least(value, 255) END) AS r, max(CASE WHEN event_id % 3 = 1 AND event_type <> 'error' THEN least(value, 255) END) AS g,
+    max(CASE WHEN event_id % 3 = 2 AND event_type <> 'error' THEN least(value, 255) END) AS b, max(CASE WHEN event_id % 3 = 0 THEN user_id % 5 / 4.0::DOUBLE END) AS a FROM events GROUP BY 1 HAVING count(*) = 3)""")
 def rgba_alpha(spark, sf_dir):
-    rows = r.table(spark, sf_dir, "events").select(F.expr("event_id div 3").alias("p"), F.expr("event_id % 3").alias("c"), F.expr("if(event_type = 'error', null, value)").alias("v"))
-    wide = rows.groupBy("p").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).alias(n) for k, n in enumerate("rgb")])
-    some, every = F.coalesce("r", "g", "b").isNotNull(), F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull()
-    return wide.select(F.when(some, F.col("p")).alias("pix"), F.when(every, 255).otherwise(0).alias("alpha"))
+    """Three planes of one column of pixels, made transparent where one is missing, times an opacity of the user."""
+    e = "cast(event_id as long)"
+    rows = r.table(spark, sf_dir, "events").selectExpr(f"{e} % 3 as plane", f"{e} div 3 as y", "0L as x", "if(event_type = 'error', null, least(value, 255.0D)) as value", "user_id % 5 / 4.0D as opacity")
+    whole = rows.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("y", "x")
+    rows = rows.join(whole, ["y", "x"], "left_semi")
+    return raster_ops.transparent(rows, rows.where("plane = 0").select("y", "x", F.col("opacity").alias("alpha"))).select("y", "x", "red", "green", "blue", "alpha")
 
 
 # --- coordinates ------------------------------------------------------------------------------------
@@ -482,7 +491,7 @@ def coadd_overlap_join(spark, sf_dir):
 def optimal_wcs(spark, sf_dir):
     wcs = Wcs((322.0, 151.0), (-0.1, 0.1), (43.0, 23.0), ("RA---TAN", "DEC--TAN"))
     g = target.optimal_grid([((399, 334), wcs)])
-    row = (*(round(v, 6) for v in g.wcs.crval), *(round(v, 6) for v in g.wcs.cdelt), g.ny, g.nx, *(round(v, 6) for v in g.wcs.crpix))
+    row = (*(round(float(v), 6) for v in (*g.wcs.crval, *g.wcs.cdelt)), g.ny, g.nx, *(round(float(v), 6) for v in g.wcs.crpix))
     return spark.createDataFrame([row], "lon double, lat double, cdelt1 double, cdelt2 double, ny long, nx long, crpix1 double, crpix2 double")
 
 
@@ -496,23 +505,23 @@ def optimal_wcs_rot(spark, sf_dir):
 
 # --- HEALPix ----------------------------------------------------------------------------------------
 
-_SKY_POINTS = "SELECT o_orderkey AS id, (o_orderkey * 37 % 3600) / 10.0::DOUBLE + 0.013::DOUBLE AS lon, (o_orderkey * 61 % 1780 - 890) / 10.0::DOUBLE + 0.017::DOUBLE AS lat FROM orders"
+_SKY_POINTS = "SELECT o_orderkey AS id, 64::BIGINT AS n, (o_orderkey * 37 % 3600) / 10.0::DOUBLE + 0.013::DOUBLE AS lon, (o_orderkey * 61 % 1780 - 890) / 10.0::DOUBLE + 0.017::DOUBLE AS lat FROM orders"
 
 
-def ring_sql(points: str, n: int, keys: str = "id") -> str:
-    """Ring index of each point at nside n, written out from the definition."""
-    return f"""SELECT {keys}, CASE WHEN abs(z) <= 2.0::DOUBLE / 3 THEN {2 * n * (n - 1)} + {4 * n} * (ir - 1) + ((jp + jm - {n} + (1 - ir % 2) + 1) // 2 + {8 * n}) % {4 * n}
-        WHEN z > 0 THEN 2 * cr * (cr - 1) + floor(t * cr)::BIGINT % (4 * cr) ELSE {12 * n * n} - 2 * cr * (cr + 1) + floor(t * cr)::BIGINT % (4 * cr) END::BIGINT AS ipix FROM (
-        SELECT *, {n} + 1 + jp - jm AS ir, least(floor((t - floor(t)) * s)::BIGINT, {n - 1}) + least(floor((1 - (t - floor(t))) * s)::BIGINT, {n - 1}) + 1 AS cr FROM (
-        SELECT *, floor({n} * (0.5::DOUBLE + t - 0.75::DOUBLE * z))::BIGINT AS jp, floor({n} * (0.5::DOUBLE + t + 0.75::DOUBLE * z))::BIGINT AS jm, {n} * sqrt(greatest(3 * (1 - abs(z)), 0.0::DOUBLE)) AS s FROM (
-        SELECT {keys}, sin(radians(lat)) AS z, lon / 90.0::DOUBLE AS t FROM ({points}))))"""
+def ring_sql(points: str, keys: str = "id") -> str:
+    """Ring index of each point (lon, lat) at nside ``n``, a column, written out from the definition."""
+    return f"""SELECT {keys}, CASE WHEN abs(z) <= 2.0::DOUBLE / 3 THEN 2 * n * (n - 1) + 4 * n * (ir - 1) + ((jp + jm - n + (1 - ir % 2) + 1) // 2 + 8 * n) % (4 * n)
+        WHEN z > 0 THEN 2 * cr * (cr - 1) + floor(t * cr)::BIGINT % (4 * cr) ELSE 12 * n * n - 2 * cr * (cr + 1) + floor(t * cr)::BIGINT % (4 * cr) END::BIGINT AS ipix FROM (
+        SELECT *, n + 1 + jp - jm AS ir, least(floor((t - floor(t)) * s)::BIGINT, n - 1) + least(floor((1 - (t - floor(t))) * s)::BIGINT, n - 1) + 1 AS cr FROM (
+        SELECT *, floor(n * (0.5::DOUBLE + t - 0.75::DOUBLE * z))::BIGINT AS jp, floor(n * (0.5::DOUBLE + t + 0.75::DOUBLE * z))::BIGINT AS jm, n * sqrt(greatest(3 * (1 - abs(z)), 0.0::DOUBLE)) AS s FROM (
+        SELECT {keys}, n, sin(radians(lat)) AS z, lon / 90.0::DOUBLE AS t FROM ({points}))))"""
 
 
 def _sky_points(spark, sf_dir):
     return r.table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_orderkey * 37 % 3600 / 10.0D + 0.013D as lon", "(o_orderkey * 61 % 1780 - 890) / 10.0D + 0.017D as lat")
 
 
-@query(ring_sql(_SKY_POINTS, 64))
+@query(ring_sql(_SKY_POINTS))
 def hpx_lonlat2pix(spark, sf_dir):
     return _sky_points(spark, sf_dir).select("id", hp.lonlat_to_ring(F.col("lon"), F.col("lat"), 64).alias("ipix"))
 
@@ -526,81 +535,127 @@ def hpx_nested_roundtrip(spark, sf_dir):
     return p.select("ipix", "again", hp.lonlat_to_nested(F.col("lon"), F.col("lat"), 4).alias("parent"))
 
 
-_CAR_PLACES = "SELECT y, x, 5.0::DOUBLE * x + 2.5::DOUBLE AS lon, 5.0::DOUBLE * y - 87.5::DOUBLE AS lat FROM (SELECT unnest(generate_series(0, 35)) AS y) CROSS JOIN (SELECT unnest(generate_series(0, 71)) AS x)"
-ALL_SKY = Wcs((1.0, 18.5), (5.0, 5.0), (2.5, 0.0), ("RA---CAR", "DEC--CAR"), latpole=90.0)
+_CAR_PLACES = f"SELECT y, x, 2.0::DOUBLE * x + 1.0::DOUBLE AS lon, 2.0::DOUBLE * y - 89.0::DOUBLE AS lat, 1::BIGINT << {order_sql()} AS n FROM (SELECT unnest(generate_series(0, 89)) AS y) CROSS JOIN (SELECT unnest(generate_series(0, 179)) AS x)"
+ALL_SKY = Grid(Wcs((1.0, 45.5), (2.0, 2.0), (1.0, 0.0), ("RA---CAR", "DEC--CAR"), latpole=90.0), (90, 180))
 
 
-@query(f"SELECT y, x, round(value, 6) AS value, 1.0::DOUBLE AS footprint FROM ({ring_sql(_CAR_PLACES, 8, 'y, x')}) p LEFT JOIN (SELECT event_id, value FROM events) e ON e.event_id = p.ipix")
+@query(f"SELECT y, x, round(value, 6) AS value, 1.0::DOUBLE AS footprint FROM ({ring_sql(_CAR_PLACES, 'y, x')}) p LEFT JOIN (SELECT event_id, value FROM events) e ON e.event_id = p.ipix")
 def hpx_to_image_nearest(spark, sf_dir):
-    out = spherical.image_from_healpix(r.healpix_map(spark, sf_dir), 8, "icrs", Grid(ALL_SKY, (36, 72)), order="nearest-neighbor")
+    out = spherical.image_from_healpix(r.healpix_map(spark, sf_dir), 1 << r.cell_order(spark, sf_dir), "icrs", ALL_SKY, order="nearest-neighbor")
     return _image(out)
 
 
-@query()
+def _ring_taps_sql(places: str) -> str:
+    """y, x, tap, ipix, w: two neighbours on each of the two rings around a position, written out from the definition."""
+    a, b = ring_info_sql("ra"), ring_info_sql("rb")
+    cells = ", ".join(f"{v} AS {side}_{k}" for side, info in (("a", a), ("b", b)) for k, v in info.items())
+    pair = lambda side, share, tap: [(f"{side}_first + (floor({side}_p)::BIGINT + {side}_size) % {side}_size", f"(1 - ({side}_p - floor({side}_p))) * {share}", tap), (f"{side}_first + (floor({side}_p)::BIGINT + 1 + {side}_size) % {side}_size", f"({side}_p - floor({side}_p)) * {share}", tap + 1)]
+    pole = lambda start: [(f"{start} + {k}", "(1 - u) / 4", k) for k in range(4)]
+    parts = [("above BETWEEN 1 AND 4 * n - 2", pair("a", "(1 - u)", 0) + pair("b", "u", 2)), ("above < 1", pole("0::BIGINT") + pair("b", "u", 4)), ("above > 4 * n - 2", pole("(12 * n * n - 4)") + pair("a", "u", 4))]
+    taps = " UNION ALL ".join(f"SELECT y, x, {tap} AS tap, {pix} AS ipix, {w} AS w FROM q WHERE {when}" for when, of in parts for pix, w, tap in of)
+    return f"""WITH h AS (SELECT y, x, n, z, phi, CASE WHEN abs(z) <= 2.0::DOUBLE / 3 THEN floor(n * (2 - 1.5::DOUBLE * z))::BIGINT WHEN z > 0 THEN floor(n * sqrt(3 * (1 - z)))::BIGINT ELSE 4 * n - 1 - floor(n * sqrt(3 * (1 + z)))::BIGINT END AS above
+        FROM (SELECT y, x, n, sin(radians(lat)) AS z, lon / 360.0::DOUBLE AS phi FROM ({places}))),
+    i AS (SELECT *, {cells} FROM (SELECT *, greatest(above, 1) AS ra, least(above + 1, 4 * n - 1) AS rb FROM h)),
+    q AS (SELECT *, a_size * phi - a_shift AS a_p, b_size * phi - b_shift AS b_p, CASE WHEN above < 1 THEN acos(z) / acos(1 - 1 / (3.0::DOUBLE * n * n)) WHEN above > 4 * n - 2 THEN (pi() - acos(z)) / acos(1 - 1 / (3.0::DOUBLE * n * n))
+        ELSE (acos(z) - acos(a_z)) / (acos(b_z) - acos(a_z)) END AS u FROM i) {taps}"""
+
+
+@query(f"""SELECT y, x, round(CASE WHEN count(*) = count(value) THEN sum(w * value) END, 5) AS value, 1.0::DOUBLE AS footprint FROM ({_ring_taps_sql(_CAR_PLACES)}) t LEFT JOIN (SELECT event_id, value FROM events) e ON e.event_id = t.ipix GROUP BY y, x""")
 def hpx_to_image_bilinear(spark, sf_dir):
-    return _image(spherical.image_from_healpix(r.healpix_map(spark, sf_dir), 8, "icrs", Grid(ALL_SKY, (36, 72)), order="bilinear"))
+    out = spherical.image_from_healpix(r.healpix_map(spark, sf_dir), 1 << r.cell_order(spark, sf_dir), "icrs", ALL_SKY, order="bilinear")
+    return rounded(out.select("y", "x", "value", "footprint"), "value", digits=5)
 
 
-#: Position of the ring pixels' centres (nside 8) in an image of one degree a pixel that covers lon 0 .. 100.
-_RING_8 = """SELECT p AS ipix, CASE WHEN p < 112 THEN 90 * (p - 2 * r * (r - 1) + 0.5::DOUBLE) / r WHEN p >= 656 THEN 90 * (4 * q - 1 - (767 - p - 2 * q * (q - 1)) + 0.5::DOUBLE) / q
-    ELSE 90 * ((p - 112) % 32 + CASE WHEN (p - 112) // 32 % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END) / 8 END AS lon,
-    degrees(asin(CASE WHEN p < 112 THEN 1 - r * r / 192.0::DOUBLE WHEN p >= 656 THEN q * q / 192.0::DOUBLE - 1 ELSE 2 * (16 - ((p - 112) // 32 + 8)) / 24.0::DOUBLE END)) AS lat FROM (
-    SELECT p, floor((1 + sqrt(1.0::DOUBLE + 2 * p)) / 2)::BIGINT AS r, floor((1 + sqrt(1.0::DOUBLE + 2 * (767 - p))) / 2)::BIGINT AS q FROM (SELECT unnest(generate_series(0, 767)) AS p))"""
-EV_SKY = Wcs((1.0, 1.0), (1.0, 1.0), (0.07, 0.0), ("RA---CAR", "DEC--CAR"))
+_CENTRES = ring_centres_sql(order_sql())
+EV_SKY = Wcs((1.0, 1.0), (1.0, 0.05), (0.07, 0.0), ("RA---CAR", "DEC--CAR"))
 
 
-@query(nearest_sql(EV_SQL, f"SELECT ipix AS y, ipix AS x, lon - 0.07::DOUBLE AS xi, lat AS yi FROM ({_RING_8})").replace("SELECT p.y AS y, p.x AS x", "SELECT p.y AS ipix"))
+@query(nearest_sql(EV_SQL, f"SELECT ipix AS y, ipix AS x, lon - 0.07::DOUBLE AS xi, lat / 0.05::DOUBLE AS yi FROM ({_CENTRES})").replace("SELECT p.y AS y, p.x AS x", "SELECT p.y AS ipix"))
 def image_to_hpx_nearest(spark, sf_dir):
-    return rounded(spherical.image_to_healpix(r.events(spark, sf_dir, EV_SKY), "icrs", 8, "nearest-neighbor"), "value")
+    return rounded(spherical.image_to_healpix(r.events(spark, sf_dir, EV_SKY), "icrs", 1 << r.cell_order(spark, sf_dir), "nearest-neighbor"), "value")
 
 
-@query(bilinear_sql(EV_SQL, f"SELECT ipix, lon - 0.07::DOUBLE AS xi, lat AS yi FROM ({_RING_8})", "ipix"))
+@query(bilinear_sql(ROOT_SQL, f"SELECT ipix, lon - 0.07::DOUBLE AS xi, lat / 0.05::DOUBLE AS yi FROM ({_CENTRES})", "ipix"))
 def image_to_hpx_bilinear(spark, sf_dir):
-    return rounded(spherical.image_to_healpix(r.events(spark, sf_dir, EV_SKY), "icrs", 8, "bilinear"), "value")
+    return rounded(spherical.image_to_healpix(r.events(spark, sf_dir, EV_SKY, "sqrt(value)"), "icrs", 1 << r.cell_order(spark, sf_dir), "bilinear"), "value")
 
 
 # --- tile pyramids ----------------------------------------------------------------------------------
 
 
-@query("SELECT unnest(generate_series(0, 47)) AS npix")
+_CONE = (10.0, 20.0, 25.0)
+
+
+def _cone_sql() -> str:
+    """Cells of the events' order of which all ancestors' centres, and their own, lie within the radius and a cell's reach."""
+    away = f"degrees(2 * asin(least(1.0::DOUBLE, sqrt(power(sin(radians((lat - {_CONE[1]}::DOUBLE) / 2)), 2) + cos(radians(lat)) * cos(radians({_CONE[1]}::DOUBLE)) * power(sin(radians((lon - {_CONE[0]}::DOUBLE) / 2)), 2)))))"
+    steps, last = ["c0 AS (SELECT unnest(generate_series(0, 11)) AS ipix, 0::BIGINT AS k)"], order_sql()
+    for k in range(UNROLLED + 1):
+        steps.append(f"d{k} AS (SELECT ipix FROM ({nested_sql(f'SELECT * FROM c{k}')}) WHERE {away} <= {_CONE[2]}::DOUBLE + least(180.0::DOUBLE, 85.0::DOUBLE / {1 << k}))")
+        steps.append(f"c{k + 1} AS (SELECT ipix * 4 + c AS ipix, {k + 1}::BIGINT AS k FROM d{k} CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS c) WHERE {k} < {last})")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT ipix AS npix FROM d{k} WHERE {k} = {last}" for k in range(UNROLLED + 1))
+
+
+@query(_cone_sql())
 def hpx_cone(spark, sf_dir):
-    """A radius above 120 degrees means the whole sky."""
-    return hips.cone(spark, 10.0, 20.0, 150.0, 1)
+    """Cells that may touch a cone of 25 degrees: a superset by the stated reach of a cell, refined order by order."""
+    return hips.cone(spark, *_CONE, r.cell_order(spark, sf_dir))
 
 
-@query(f"""WITH t AS ({TILES_SQL}), p AS (SELECT 0 AS norder, npix // 4 AS npix, CASE WHEN npix % 4 IN (0, 2) THEN 2 ELSE 0 END + y // 2 AS y, CASE WHEN npix % 4 >= 2 THEN 2 ELSE 0 END + x // 2 AS x, avg(value) AS value
-    FROM t WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4)
-    SELECT norder, npix, y, x, round(value, 6) AS value FROM t UNION ALL SELECT norder, npix, y, x, round(value, 6) AS value FROM p""")
+def _pyramid_sql() -> str:
+    steps = [f"t0 AS (SELECT norder, npix, y, x, value FROM ({TILES_SQL}))"]
+    for k in range(UNROLLED):
+        steps.append(f"t{k + 1} AS (SELECT (norder - 1)::INTEGER AS norder, npix // 4 AS npix, CASE WHEN npix % 4 IN (0, 2) THEN 2 ELSE 0 END + y // 2 AS y, CASE WHEN npix % 4 >= 2 THEN 2 ELSE 0 END + x // 2 AS x, avg(value) AS value FROM t{k} WHERE value IS NOT NULL AND norder > 0 GROUP BY 1, 2, 3, 4)")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT norder, npix, y, x, round(value, 6) AS value FROM t{k}" for k in range(UNROLLED + 1))
+
+
+@query(_pyramid_sql())
 def hips_pyramid(spark, sf_dir):
-    return rounded(hips.pyramid(r.tiles(spark, sf_dir), 4, 1), "value")
+    level = r.cell_order(spark, sf_dir, 16)
+    return rounded(hips.pyramid(r.tiles(spark, sf_dir, level), 4, level), "value")
+
 
+def _pyramid_3d_sql() -> str:
+    steps = [f"t0 AS (SELECT norder, npix, forder, fpix, z, y, x, value FROM ({CUBE_SQL}))"]
+    for k in range(UNROLLED):
+        steps.append(f"""t{k + 1} AS (SELECT (norder - 1)::INTEGER AS norder, npix // 4 AS npix, greatest(forder - 1, 0)::INTEGER AS forder, CASE WHEN forder > 0 THEN fpix // 2 ELSE fpix END AS fpix, CASE WHEN forder > 0 THEN fpix % 2 + z // 2 ELSE z END AS z,
+            CASE WHEN npix % 4 IN (0, 2) THEN 1 ELSE 0 END + y // 2 AS y, CASE WHEN npix % 4 >= 2 THEN 1 ELSE 0 END + x // 2 AS x, avg(value) AS value FROM t{k} WHERE value IS NOT NULL AND norder > 0 GROUP BY 1, 2, 3, 4, 5, 6, 7)""")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT norder, npix, forder, fpix, z, y, x, round(value, 6) AS value FROM t{k}" for k in range(UNROLLED + 1))
 
-@query(f"""WITH t AS ({CUBE_SQL}), p AS (SELECT 0 AS norder, npix // 4 AS npix, 0 AS forder, fpix // 2 AS fpix, fpix % 2 + z // 2 AS z, CASE WHEN npix % 4 IN (0, 2) THEN 1 ELSE 0 END + y // 2 AS y, CASE WHEN npix % 4 >= 2 THEN 1 ELSE 0 END + x // 2 AS x, avg(value) AS value
-    FROM t WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7)
-    SELECT norder, npix, forder, fpix, z, y, x, round(value, 6) AS value FROM t UNION ALL SELECT norder, npix, forder, fpix, z, y, x, round(value, 6) FROM p""")
+
+@query(_pyramid_3d_sql())
 def hips3d_pyramid(spark, sf_dir):
-    return rounded(hips.pyramid_3d(r.cube_tiles(spark, sf_dir), 2, 2, 1, 1), "value")
+    level = r.cell_order(spark, sf_dir, 32)
+    return rounded(hips.pyramid_3d(r.cube_tiles(spark, sf_dir, level), 2, 2, level, 1), "value")
 
 
-@query(f"""SELECT (npix // 6) * 4 + y AS y, (npix % 6) * 4 + x AS x, round(value, 6) AS value FROM ({TILES_SQL}) WHERE value IS NOT NULL""")
+@query(f"""SELECT npix // w * 4 + y AS y, npix % w * 4 + x AS x, round(value, 6) AS value FROM ({TILES_SQL}) CROSS JOIN (SELECT floor(sqrt(12 * (1::BIGINT << (2 * {order_sql(16)}))))::BIGINT AS w) WHERE value IS NOT NULL""")
 def hips_allsky(spark, sf_dir):
-    return rounded(hips.allsky(r.tiles(spark, sf_dir), 1, 4), "value")
+    level = r.cell_order(spark, sf_dir, 16)
+    return rounded(hips.allsky(r.tiles(spark, sf_dir, level), level, 4), "value")
+
+
+_ALL_TILES = f"(SELECT unnest(generate_series(0, 12 * (1::BIGINT << (2 * {order_sql(16)})) - 1)) AS npix)"
 
 
-@query(f"""SELECT n.npix AS npix, i // 4 AS y, i % 4 AS x, t.value AS value FROM (SELECT unnest(generate_series(0, 47)) AS npix) n CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS i) p
-    LEFT JOIN (SELECT * FROM ({TILES_SQL}) WHERE npix % 5 <> 0) t ON t.npix = n.npix AND t.y = i // 4 AND t.x = i % 4""")
+@query(f"""SELECT n.npix AS npix, i // 4 AS y, i % 4 AS x, t.value AS value FROM {_ALL_TILES} n CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS i) p
+    LEFT JOIN ({TILES_SQL}) t ON t.npix = n.npix AND t.y = i // 4 AND t.x = i % 4""")
 def hips_read_level(spark, sf_dir):
-    return hips.read_level(r.tiles(spark, sf_dir).where("npix % 5 <> 0"), 1, 4)
+    level = r.cell_order(spark, sf_dir, 16)
+    return hips.read_level(r.tiles(spark, sf_dir, level), level, 4)
 
 
-@query(f"SELECT npix FROM (SELECT unnest(generate_series(0, 47)) AS npix) WHERE npix NOT IN (SELECT npix FROM ({TILES_SQL}) WHERE npix % 5 <> 0)")
+@query(f"SELECT npix FROM {_ALL_TILES} WHERE npix NOT IN (SELECT npix FROM ({TILES_SQL}))")
 def hips_missing_tiles(spark, sf_dir):
-    return hips.missing_tiles(r.tiles(spark, sf_dir).where("npix % 5 <> 0"), 1)
+    """The cells beyond the last event's."""
+    level = r.cell_order(spark, sf_dir, 16)
+    return hips.missing_tiles(r.tiles(spark, sf_dir, level), level)
 
 
 @query(f"SELECT min(value) AS low, max(value) AS high FROM ({TILES_SQL})")
 def hips_pixel_cut(spark, sf_dir):
-    return r.tiles(spark, sf_dir).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    low, high = hips.pixel_cut(r.tiles(spark, sf_dir, r.cell_order(spark, sf_dir, 16)))
+    return spark.createDataFrame([(low, high)], "low double, high double")
 
 
 @query("""SELECT o_orderkey AS id, 'Norder7/Dir' || (o_orderkey // 10000 * 10000)::VARCHAR || '/Npix' || o_orderkey::VARCHAR || '.fits' AS path,
@@ -618,23 +673,24 @@ def hips_properties(spark, sf_dir):
     return hips.parse_properties(hips.properties_lines(values).unionByName(note))
 
 
-@query("""SELECT norder, npix, round(lon, 6) AS lon, round(lat, 6) AS lat FROM (SELECT 3 AS norder, unnest([0, 0, 1, 100, 255, 300])::BIGINT AS npix, unnest([45.0::DOUBLE, 45.0::DOUBLE, 45.0::DOUBLE, 0, 0, 0]) AS lon, unnest([4.780192::DOUBLE, 4.780192::DOUBLE, 7.180756::DOUBLE, 0, 0, 0]) AS lat) WHERE npix < 2""".replace("[0, 0, 1,", "[0, 0, 3,").replace("npix < 2", "npix < 0"))
+@query(f"""SELECT 3 AS norder, ipix AS npix, round(cos(radians(lon)), 6) AS cos_lon, round(sin(radians(lon)), 6) AS sin_lon, round(lat, 6) AS lat FROM ({nested_sql('SELECT unnest(generate_series(0, 767)) AS ipix, 3::BIGINT AS k')})""")
 def hips_tile_wcs(spark, sf_dir):
-    """Rows only where the projection's centre of a tile and the cell's centre disagree: none."""
-    cells = spark.createDataFrame([(p, *[float(v) for v in hips.tile_wcs(3, p, 16).pixel_to_world(np.float64(7.5), np.float64(7.5))]) for p in range(768)], "npix long, a double, b double")
-    cells = hp.nested_positions(cells, F.col("npix"), 8)
-    off = (F.abs(F.col("lat") - F.col("b")) > 1e-6) | ((1 - F.cos(F.radians(F.col("lon") - F.col("a")))) * F.cos(F.radians("lat")) > 1e-10)
-    return cells.where(off).select(F.lit(3).alias("norder"), "npix", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    """The centre of every tile of order 3 by the projection of its header."""
+    centres = [(p, *map(float, hips.tile_wcs(3, p, 16).pixel_to_world(np.float64(7.5), np.float64(7.5)))) for p in range(768)]
+    cells = spark.createDataFrame(centres, "npix long, lon double, lat double")
+    return cells.select(F.lit(3).alias("norder"), "npix", F.round(F.cos(F.radians("lon")), 6).alias("cos_lon"), F.round(F.sin(F.radians("lon")), 6).alias("sin_lon"), F.round("lat", 6).alias("lat"))
 
 
 @query(f"""SELECT norder, npix, forder, fpix, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM ({CUBE_SQL}) WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def hips3d_trim(spark, sf_dir):
-    return hips.trim(r.cube_tiles(spark, sf_dir))
+    return hips.trim(r.cube_tiles(spark, sf_dir, r.cell_order(spark, sf_dir, 32)))
 
 
-@query(f"SELECT norder, npix, forder, fpix, z, y, x, value FROM ({CUBE_SQL}) t WHERE (npix, fpix) IN (SELECT (npix, fpix) FROM ({CUBE_SQL}) WHERE value IS NOT NULL)".replace("(npix, fpix) IN (SELECT (npix, fpix)", "npix * 4 + fpix IN (SELECT npix * 4 + fpix"))
+@query(f"""SELECT t.norder AS norder, t.npix AS npix, t.forder AS forder, t.fpix AS fpix, i // 4 AS z, i % 4 // 2 AS y, i % 2 AS x, c.value AS value
+    FROM (SELECT DISTINCT norder, npix, forder, fpix FROM ({CUBE_SQL}) WHERE value IS NOT NULL) t CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS i)
+    LEFT JOIN ({CUBE_SQL}) c ON c.npix = t.npix AND c.fpix = t.fpix AND c.z = i // 4 AND c.y = i % 4 // 2 AND c.x = i % 2""")
 def hips3d_untrim(spark, sf_dir):
-    stored = r.cube_tiles(spark, sf_dir).where("value is not null")
+    stored = r.cube_tiles(spark, sf_dir, r.cell_order(spark, sf_dir, 32)).where("value is not null")
     return hips.untrim(stored, 2, 2)
 
 
@@ -645,17 +701,17 @@ def hips3d_indices(spark, sf_dir):
     return hips.cone(spark, 0.0, 0.0, 180.0, 0).join(span)
 
 
-@query(f"""WITH a AS (SELECT *, 0 AS s FROM ({TILES_SQL}) WHERE npix < 30), b AS (SELECT norder, npix, y, x, value + 1000 AS value, 1 AS s FROM ({TILES_SQL}) WHERE npix >= 20)
-    SELECT norder, npix, y, x, value FROM b UNION ALL SELECT norder, npix, y, x, value FROM a WHERE npix < 20""")
+@query(f"""WITH a AS ({ORDER_TILES_SQL}), b AS ({TILES_SQL}) SELECT (SELECT max(norder) FROM a) AS norder, npix, y, x, value FROM b UNION ALL SELECT norder, npix, y, x, value FROM a WHERE npix NOT IN (SELECT npix FROM b)""")
 def coadd_hips(spark, sf_dir):
-    t = r.tiles(spark, sf_dir)
-    return hips.union_of([t.where("npix < 30"), t.where("npix >= 20").withColumn("value", F.col("value") + 1000)], "last")
+    """Tiles of the orders' set, and over them those of the events' set."""
+    level = r.cell_order(spark, sf_dir, 16, "orders", "o_orderkey")
+    return hips.union_of([r.tiles(spark, sf_dir, level, name="orders", key="o_orderkey", value="o_totalprice"), r.tiles(spark, sf_dir, level)], "last")
 
 
 @query(f"""SELECT norder, npix, y, x, round(sum(v * f) / sum(f), 6) AS value, least(1.0::DOUBLE, sum(f)) AS footprint FROM (SELECT norder, npix, y, x, value AS v, 0.5::DOUBLE AS f FROM ({TILES_SQL})
     UNION ALL SELECT norder, npix, y, 3 - x AS x, value AS v, 0.25::DOUBLE AS f FROM ({TILES_SQL})) WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def hips_border_tile(spark, sf_dir):
-    t = r.tiles(spark, sf_dir)
+    t = r.tiles(spark, sf_dir, r.cell_order(spark, sf_dir, 16))
     a, b = t.withColumn("footprint", F.lit(0.5)), t.withColumns({"x": 3 - F.col("x"), "footprint": F.lit(0.25)})
     return rounded(hips.merge_borders(a.unionByName(b)), "value")
 
@@ -670,44 +726,49 @@ def hips_tiles(spark, sf_dir):
 
 # --- coverage ---------------------------------------------------------------------------------------
 
-_CELLS = "SELECT 3 AS norder, event_id AS ipix FROM events WHERE event_id < 768 AND event_id % 64 < 40 AND event_id % 37 <> 0"
+_CELLS = f"SELECT {order_sql()}::INTEGER AS norder, event_id AS ipix FROM events WHERE event_type <> 'error'"
 
 
-def _cells(spark, sf_dir) -> DataFrame:
-    rows = r.table(spark, sf_dir, "events").where("event_id < 768 and event_id % 64 < 40 and event_id % 37 <> 0")
-    return rows.select(F.lit(3).alias("norder"), F.col("event_id").cast("long").alias("ipix"))
+def _cells(spark, sf_dir, which: str = "event_type <> 'error'") -> DataFrame:
+    """The cells of all events of some kinds, on the order at which every event has a cell."""
+    rows = r.table(spark, sf_dir, "events").where(which)
+    return rows.select(F.lit(r.cell_order(spark, sf_dir)).alias("norder"), F.col("event_id").cast("long").alias("ipix"))
 
 
 def _moc_sql() -> str:
-    steps = [f"c3 AS (SELECT ipix FROM ({_CELLS}))"]
-    for k in (2, 1, 0):
-        steps.append(f"c{k} AS (SELECT ipix // 4 AS ipix FROM c{k + 1} GROUP BY 1 HAVING count(*) = 4)")
-    parts = [f"SELECT {k} AS norder, ipix FROM c{k} WHERE ipix // 4 NOT IN (SELECT ipix FROM c{k - 1})" for k in (3, 2, 1)] + ["SELECT 0 AS norder, ipix FROM c0"]
+    steps, last = [f"c0 AS (SELECT ipix FROM ({_CELLS}))"], order_sql()
+    for k in range(UNROLLED):
+        steps.append(f"c{k + 1} AS (SELECT ipix // 4 AS ipix FROM c{k} WHERE {k} < {last} GROUP BY 1 HAVING count(*) = 4)")
+    parts = [f"SELECT ({last} - {k})::INTEGER AS norder, ipix FROM c{k} WHERE ipix // 4 NOT IN (SELECT ipix FROM c{k + 1})" for k in range(UNROLLED)]
     return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(parts)
 
 
 @query(_moc_sql())
 def moc_build(spark, sf_dir):
-    return coverage.normalise(_cells(spark, sf_dir), 3)
+    return coverage.normalise(_cells(spark, sf_dir), r.cell_order(spark, sf_dir))
 
 
-@query(f"""SELECT min(ipix) AS start, max(ipix) + 1 AS stop FROM (SELECT ipix, ipix - row_number() OVER (PARTITION BY ipix // 64 ORDER BY ipix) AS g FROM ({_CELLS})) GROUP BY ipix // 64, g""")
+@query(f"""SELECT min(ipix) AS start, max(ipix) + 1 AS stop FROM (SELECT ipix, ipix - row_number() OVER (ORDER BY ipix) AS g FROM ({_CELLS})) GROUP BY g""")
 def moc_ranges(spark, sf_dir):
-    return coverage.ranges(_cells(spark, sf_dir), 3)
+    return coverage.ranges(_cells(spark, sf_dir), r.cell_order(spark, sf_dir))
 
 
-@query(f"SELECT 2 AS norder, ipix FROM (SELECT DISTINCT ipix // 4 AS ipix FROM ({_CELLS})) WHERE ipix IN (SELECT event_id // 4 FROM events WHERE event_id < 768 AND event_type = 'click')")
+@query(f"SELECT ({order_sql()} - 1)::INTEGER AS norder, ipix FROM (SELECT DISTINCT ipix // 4 AS ipix FROM ({_CELLS})) WHERE ipix IN (SELECT event_id // 4 FROM events WHERE event_type = 'error')")
 def moc_intersect(spark, sf_dir):
-    other = r.table(spark, sf_dir, "events").where("event_id < 768 and event_type = 'click'").select(F.lit(3).alias("norder"), F.col("event_id").cast("long").alias("ipix"))
-    return coverage.intersection(_cells(spark, sf_dir), other, 2)
+    """Cells one order up that both the errors and the other events touch."""
+    return coverage.intersection(_cells(spark, sf_dir), _cells(spark, sf_dir, "event_type = 'error'"), r.cell_order(spark, sf_dir) - 1)
 
 
-@query(f"SELECT npix, count(*) AS n FROM ({TILES_SQL}) WHERE npix IN (SELECT ipix // 16 FROM ({_CELLS})) GROUP BY npix")
+@query(f"SELECT npix, count(*) AS n FROM ({ORDER_TILES_SQL}) WHERE npix IN (SELECT ipix >> (2 * ({order_sql()} - {order_sql(16, 'orders', 'o_orderkey')})) FROM ({_CELLS})) GROUP BY npix")
 def moc_semi_join(spark, sf_dir):
-    return coverage.covered_tiles(r.tiles(spark, sf_dir), _cells(spark, sf_dir), 1).groupBy("npix").agg(F.count(F.lit(1)).alias("n"))
+    """Tiles of the orders' set that the events' coverage, of a finer order, touches."""
+    level = r.cell_order(spark, sf_dir, 16, "orders", "o_orderkey")
+    tiles = r.tiles(spark, sf_dir, level, name="orders", key="o_orderkey", value="o_totalprice")
+    return coverage.covered_tiles(tiles, _cells(spark, sf_dir), level).groupBy("npix").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT fpix, string_agg(npix::VARCHAR, ',' ORDER BY npix) AS cells FROM (SELECT DISTINCT fpix, npix FROM ({CUBE_SQL}) WHERE value IS NOT NULL AND npix % 3 <> fpix % 3) GROUP BY fpix")
+@query(f"""SELECT fpix, min(npix) AS start, max(npix) + 1 AS stop FROM (SELECT fpix, npix, npix - row_number() OVER (PARTITION BY fpix ORDER BY npix) AS g FROM (SELECT DISTINCT fpix, npix FROM ({CUBE_SQL}) WHERE value >= 10)) GROUP BY fpix, g""")
 def moc_sf(spark, sf_dir):
-    tiles = r.cube_tiles(spark, sf_dir).where("value is not null and npix % 3 <> fpix % 3")
-    return coverage.spectral_cells(tiles).select("fpix", F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells"))
+    """For each frequency cell, the ranges of cells with a value of 10 or more."""
+    level = r.cell_order(spark, sf_dir, 32)
+    return coverage.spectral_ranges(r.cube_tiles(spark, sf_dir, level).where("value >= 10"), level)

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; an own temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; an own temporary folder only where it is unset and all runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skygrid-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -27,10 +29,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared root, removed when the driver's Python ends."""
+    path = f"{shared_root(spark)}/skygrid/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write and read back: what follows does not depend on executors that computed ``df``."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/skygrid/cut-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

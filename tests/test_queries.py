@@ -1,0 +1,12 @@
+"""All registered queries of the core; last, as they take longest."""
+
+
+def test_every_query_of_the_core_runs(spark):
+    """Each registered query, at the smallest scale, to its end."""
+    from skygrid.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    for name, query in queries.QUERIES.items():
+        df = query(spark, sf)
+        assert len(set(df.columns)) == len(df.columns), name
+        assert df.collect() or name == "hips_missing_tiles", name
