@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
 import numpy as np
@@ -17,9 +18,11 @@ U64 = np.uint64
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or an own one if unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or, where all run in one process, an own one if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="skygrid-shared-")
@@ -62,8 +65,8 @@ def partitions(spark: SparkSession) -> int:
 PACK_BYTES = 4 << 20
 #: Bytes of one Arrow batch on the way to Python.
 ARROW_BYTES = 4 << 20
-PACK_SCHEMA = "batch long, doc_ids binary, known binary, lens binary, blob binary, rest binary"
-_PACK = pa.schema([("batch", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "known", "lens", "blob", "rest"))])
+PACK_SCHEMA = "batch long, size long, doc_ids binary, known binary, lens binary, blob binary, rest binary"
+_PACK = pa.schema([("batch", pa.int64()), ("size", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "known", "lens", "blob", "rest"))])
 
 
 class Batch:
@@ -99,8 +102,8 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
     return lens.astype(np.int64), null, data[off[0] : off[-1]].to_pybytes() if data else b""
 
 
-def to_batches(records, id_name: str, text_name: str):
-    """Split Arrow record batches into ``Batch`` es of about PACK_BYTES; a longer document is alone in its own."""
+def to_batches(records, id_name: str, text_name: str, pack_bytes: int = PACK_BYTES):
+    """Split Arrow record batches into ``Batch`` es of about ``pack_bytes``; a longer document is alone in its own."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -124,7 +127,7 @@ def to_batches(records, id_name: str, text_name: str):
         rest = rec.select([k for k in rec.schema.names if k.startswith(CARRIED)])
         a = 0
         while a < len(ids):
-            b = int(np.searchsorted(off, off[a] + PACK_BYTES - size, "right")) - 1
+            b = int(np.searchsorted(off, off[a] + pack_bytes - size, "right")) - 1
             if b <= a:
                 if held:
                     yield out()
@@ -134,7 +137,7 @@ def to_batches(records, id_name: str, text_name: str):
             held.append((ids[a:b], known[a:b], lens[a:b], buf[off[a] : off[b]], rest.slice(a, b - a)))
             size += int(off[b] - off[a])
             a = b
-            if size >= PACK_BYTES:
+            if size >= pack_bytes:
                 yield out()
     if held:
         yield out()
@@ -144,7 +147,7 @@ def to_batches(records, id_name: str, text_name: str):
 CARRIED = "carried_"
 
 
-def pack_documents(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", carry: list[str] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", carry: list[str] | None = None, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Documents as compressed batches, written once to shared storage and read by every later pass.
 
     ``carry`` names further columns that travel with their rows, whatever they are called.
@@ -152,7 +155,7 @@ def pack_documents(docs: DataFrame, id_name: str = "doc_id", text_name: str = "t
 
     def pack(records):
         z = zstandard.ZstdCompressor(level=3)
-        for b in to_batches(records, "doc_id", "text"):
+        for b in to_batches(records, "doc_id", "text", pack_bytes):
             rest = None
             if b.rest is not None:
                 sink = pa.BufferOutputStream()
@@ -160,22 +163,41 @@ def pack_documents(docs: DataFrame, id_name: str = "doc_id", text_name: str = "t
                     out.write_table(b.rest)
                 rest = z.compress(sink.getvalue().to_pybytes())
             cells = (b.ids.tobytes(), b.known.tobytes(), b.lens.tobytes(), z.compress(b.buf), rest)
-            yield pa.RecordBatch.from_arrays([pa.array([b.number], pa.int64()), *(pa.array([x], pa.binary()) for x in cells)], schema=_PACK)
+            yield pa.RecordBatch.from_arrays([pa.array([b.number], pa.int64()), pa.array([len(b.buf)], pa.int64()), *(pa.array([x], pa.binary()) for x in cells)], schema=_PACK)
+            release()
 
     return cut(select_documents(docs, id_name, text_name, carry).mapInArrow(pack, PACK_SCHEMA), "pack")
 
 
+def cell(name: str):
+    """A column by its plain name, whatever signs that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def select_documents(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, text and the carried columns under their inner names.
 
     Arrow batches of the session are bounded in bytes, as texts may be long: a batch holds ARROW_BYTES or one row.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    cell = lambda k: F.col("`" + k.replace("`", "``") + "`")
     return docs.select(cell(id_name).cast("long").alias("doc_id"), cell(text_name).cast("string").alias("text"), *(cell(k).alias(CARRIED + k) for k in carry or []))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that keeps it counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
 def unpack(row: dict) -> Batch:
+    release()
     lens = np.frombuffer(row["lens"], np.int64)
     z = zstandard.ZstdDecompressor()
     buf = z.decompress(row["blob"]) if lens.sum() else b""
@@ -247,7 +269,9 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[:-rest], a[rest:]) if rest else a
 
 
-_POW, _INV = powers(P, 1 << 21), powers(pow(P, -1, 2**64), 1 << 21)
+#: Bytes that ``segment_hash`` handles at once.
+HASHED = 1 << 18
+_POW, _INV = powers(P, HASHED + 1), powers(pow(P, -1, 2**64), HASHED + 1)
 
 
 def segment_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -255,11 +279,11 @@ def segment_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
-        j = min(len(starts), int(np.searchsorted(ends, starts[i] + (1 << 18), "right")))
+        j = min(len(starts), int(np.searchsorted(ends, starts[i] + HASHED, "right")))
         if j <= i:  # one very long range
             b, h, done = buf[starts[i] : ends[i]], U64(0), 0
             while done < len(b):
-                part = BYTE[b[done : done + (1 << 18)]]
+                part = BYTE[b[done : done + HASHED]]
                 h += (part * _POW[: len(part)]).sum(dtype=U64) * U64(pow(P, done, 2**64))
                 done += len(part)
             out[i] = h

@@ -11,8 +11,9 @@ two texts share a sketch when they share the k-mers *and* their order: a measure
 3. Only 64-bit keys and nodes travel, packed, to the bucket of the key.  Texts that share a key are
    candidates.  Each key contributes a star around its least node, and the stars' connected components
    bound what can be similar; no pairs of a key are written.
-4. Each candidate text travels once, to the group of its component (a component too large for one task
-   is dealt out in classes of length and blocks; blocks of one class or of neighbouring ones meet).  Inside a group, texts are linked if their word
+4. Each candidate text travels to the group of its component (a component too large for one task is dealt
+   out in classes of length and blocks; blocks of one class or of neighbouring ones meet, and a text travels
+   once for each of them).  Inside a group, texts are linked if their word
    edit distance is at most (1 - threshold) of the longer one, by banded alignment; a prefix filter on
    their rarest words finds the texts to compare, and texts already connected are not compared again.
 5. Components of the verified links are the classes.
@@ -224,27 +225,50 @@ def link(texts, threshold: float, across: int | None = None) -> list[tuple[int,
     return out
 
 
+#: Neighbours from which a node's edges are spread over several tasks, and over how many.
+HOT_DEGREE, SPREAD = 4096, 32
+
+
+def _with_value(edges: DataFrame, values: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Each edge with the value of its node ``u``; edges of hot nodes are dealt out over SPREAD tasks."""
+    if hot is None:
+        return edges.join(values, "u")
+    hot = F.broadcast(hot.withColumn("hot", F.lit(True)))
+    edges = edges.join(hot, "u", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")).drop("hot")
+    values = values.join(hot, "u", "left").withColumn("salt", F.explode(F.expr(f"if(hot, sequence(0, {SPREAD - 1}), array(0))"))).drop("hot")
+    return edges.join(values, ["u", "salt"]).drop("salt")
+
+
+def _hot_nodes(pairs: DataFrame, name: str, limit: int) -> DataFrame:
+    """Nodes with more neighbours than ``limit``; at most the number of pairs over ``limit`` of them."""
+    return c.cut(pairs.groupBy(F.col(name).alias("u")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("u"), "hot")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for undirected edges (a, b): each node's least connected node.
 
-    Rounds of large-star and small-star; every round ends in a written table, and only a count reaches the driver.
+    Rounds of large-star and small-star; every round ends in a written table, and only counts reach the driver.
+    A node with many neighbours (the limit grows with the edges, so that there are some thousands of them at most)
+    does not meet them in one task.
     """
     edges = edges.where("a <> b")
     pairs = c.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    state = lambda: pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+    now = state()
+    while now[0]:
+        before, limit = now, max(HOT_DEGREE, int(now[0]) // HOT_DEGREE)
         # large star: the larger neighbours of a node point to the least of its neighbourhood
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: a node and its smaller neighbours point to the least of them
+        up = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = _with_value(up, least, _hot_nodes(pairs, "v", limit) if now[2] > limit else None).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: a node and its smaller neighbours point to the least of them; after a large star these are few
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         pairs = c.cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        now = state()
+        if now[:2] == before[:2]:
             break
-        before = now
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
@@ -351,7 +375,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 #: Keys that are held before they are sent.
-HELD = 1 << 20
+HELD = 1 << 18
+#: Least number of buckets of keys, and bytes of keys and nodes that one should have at most.
+BUCKETS, BUCKET_BYTES = 64, 16 << 20
 
 
 def _send_keys(buckets: int, threshold: float, count: int, length: int, k: int, short: int):
@@ -381,7 +407,7 @@ def _send_keys(buckets: int, threshold: float, count: int, length: int, k: int,
                     nid = int.from_bytes(hashlib.blake2b(_words(b, i), digest_size=16).digest()[:8], "little", signed=True)
                     if nid in seen:
                         continue
-                    if len(seen) > 200_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(nid)
                     held.append((candidate_keys(h[first[i] : first[i + 1]], threshold, count, length, k, short), nid))
@@ -412,29 +438,42 @@ def _stars(table: pa.Table) -> pa.Table:
 def _link_groups(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
-        nodes, texts, side = table.column("node").to_pylist(), table.column("text").to_pylist(), table.column("side").to_pylist()
+        nodes, texts, side = table.column("num").to_pylist(), table.column("text").to_pylist(), table.column("side").to_pylist()
         by = sorted(range(len(nodes)), key=lambda i: (side[i], nodes[i]))
         by = [i for k, i in enumerate(by) if k == 0 or nodes[i] != nodes[by[k - 1]]]
         across = sum(side[i] == 0 for i in by) if any(side) else None
         found = link((z.decompress(texts[i]).split() for i in by), threshold, across)
-        return pa.table({"a": pa.array([nodes[by[i]] for i, _ in found], pa.binary()), "b": pa.array([nodes[by[j]] for _, j in found], pa.binary())})
+        return pa.table({"a": pa.array([nodes[by[i]] for i, _ in found], pa.int64()), "b": pa.array([nodes[by[j]] for _, j in found], pa.int64())})
 
     return run
 
 
+#: Digests of texts that a task remembers, so that it sends copies once.
+SEEN = 200_000
+
+
 def _compressed_texts(docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
-    """node and its compressed words, for every document with words."""
+    """doc_id, node and compressed words of every document that can be the first of its copies: its id is the least that the task has met."""
 
     def run(records):
         z = zstandard.ZstdCompressor(level=3)
+        seen: dict[bytes, int | None] = {}
         for rec in records:
-            nodes, texts = [], []
-            for t in rec.column(1).to_pylist():
+            ids, nodes, texts = [], [], []
+            for doc, t in zip(rec.column(0).to_pylist(), rec.column(1).to_pylist()):
                 words = b" ".join((t or "").encode().split())
-                if words:
-                    nodes.append(hashlib.blake2b(words, digest_size=16).digest())
-                    texts.append(z.compress(words))
-            yield pa.RecordBatch.from_arrays([rec.column(0) if len(nodes) == rec.num_rows else pa.array([x for x, t in zip(rec.column(0).to_pylist(), rec.column(1).to_pylist()) if (t or "").encode().split()], pa.int64()), pa.array(nodes, pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "node", "text"])
+                if not words:
+                    continue
+                node = hashlib.blake2b(words, digest_size=16).digest()
+                if node in seen and (doc is None or (seen[node] is not None and seen[node] <= doc)):
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen[node] = doc
+                ids.append(doc)
+                nodes.append(node)
+                texts.append(z.compress(words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "node", "text"])
 
     return c.select_documents(docs, id_name, text_name).mapInArrow(run, "doc_id long, node binary, text binary")
 
@@ -451,44 +490,43 @@ def near_duplicates(
     different classes; a null id gets the class of its text, null if no row of the class has an id.
     """
     rows = c.cut(node_documents(docs, id_name, text_name), "rows")
-    # one document stands for all rows with its words
-    nodes = c.cut(
-        rows.where("node is not null").groupBy("node", "nid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_bytes", "n_words")).alias("r"))
-        .select("node", "nid", F.col("r.doc_id").alias("doc_id"), F.col("r.n_bytes").alias("n_bytes"), F.col("r.n_words").alias("n_words")), "nodes",
-    )
-    buckets = max(16, c.partitions(docs.sparkSession))
+    # one document stands for all rows with its words; from here on a node is a number, which hashes and compares as one
+    nodes = rows.where("node is not null").groupBy("node", "nid").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_rows"))
+    nodes = c.cut(nodes.withColumn("num", F.monotonically_increasing_id()), "nodes")
+    buckets = max(BUCKETS, math.ceil(nodes.count() * count * 16 / BUCKET_BYTES))
     keys = c.select_documents(docs, id_name, text_name).mapInArrow(_send_keys(buckets, threshold, count, length, k, short), "bucket int, data binary")
     stars = keys.groupBy("bucket").applyInArrow(_stars, "a long, b long")
     # two nodes of one nid are in the same component, where their texts tell them apart
     candidates = components(stars).withColumnRenamed("node", "nid")
     # joins are told to shuffle, so that small and large inputs run the same plan
-    sized = c.cut(nodes.join(candidates.hint("shuffle_hash"), "nid").select("node", "root", "n_bytes", "n_words", "doc_id"), "candidates")
+    sized = c.cut(nodes.join(candidates.hint("shuffle_hash"), "nid").select("num", "node", "root", "n_bytes", "n_words", "doc_id"), "candidates")
     shares = sized.groupBy("root").agg((F.sum("n_bytes") / group_bytes).cast("long").alias("more"))
     # similar texts are of one class of length or of neighbouring ones
     step = 1e-6 - math.log(threshold) if 0 < threshold <= 1 else math.inf
     level = F.when(F.col("more") > 0, F.floor(F.log(F.col("n_words").cast("double")) / F.lit(step))).otherwise(F.lit(0)).cast("long")
-    placed = sized.join(shares, "root").select("node", "root", "n_bytes", "more", level.alias("level"))
+    placed = sized.join(shares, "root").select("num", "root", "n_bytes", "more", level.alias("level"))
     blocks = placed.groupBy("root", "level").agg((F.sum("n_bytes") / group_bytes).cast("long").alias("last"))
-    own = placed.join(blocks, ["root", "level"]).select("node", "root", "more", "level", F.pmod(F.xxhash64("node"), F.col("last") + 1).alias("block"))
+    own = placed.join(blocks, ["root", "level"]).select("num", "root", "more", "level", F.pmod(F.xxhash64("num"), F.col("last") + 1).alias("block"))
     meets = own.select("*", F.explode(F.expr("if(more > 0, array(-1L, 0L, 1L), array(0L))")).alias("to"))
     meets = meets.join(blocks.select("root", F.col("level").alias("other"), F.col("last").alias("others")), (F.col("other") == F.col("level") + F.col("to")) & (meets["root"] == blocks["root"])).drop(blocks["root"])
     # a block meets itself and each other block: two blocks, the lower one side 0, form a group
-    groups = meets.select("node", "root", F.least("level", "other").alias("low"), (F.col("to") != 0).alias("mixed"), F.explode(F.expr(
+    groups = meets.select("num", "root", F.least("level", "other").alias("low"), (F.col("to") != 0).alias("mixed"), F.explode(F.expr(
         "transform(sequence(0L, others), x -> if(to = 0, struct(least(x, block) as i, greatest(x, block) as j, if(x < block, 1, 0) as side), if(to > 0, struct(block as i, x as j, 0 as side), struct(x as i, block as j, 1 as side))))"
     )).alias("g"))
-    groups = groups.select("node", "root", "low", "mixed", "g.i", "g.j", "g.side").distinct()
-    # the text of the row that stands for a node; should rows repeat, the group drops the others
+    groups = groups.select("num", "root", "low", "mixed", "g.i", "g.j", "g.side").distinct()
+    # only the row that stands for a candidate sends its text; should rows repeat, the group drops the others
     texts = _compressed_texts(docs, id_name, text_name)
-    named = sized.select("node", F.col("doc_id").alias("chosen"))
-    picked = texts.join(named.hint("shuffle_hash"), "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "text")
-    sent = picked.join(groups.hint("shuffle_hash"), "node")
-    links = sent.groupBy("root", "low", "mixed", "i", "j").applyInArrow(_link_groups(threshold), "a binary, b binary")
-    classes = c.cut(components(c.cut(links, "links")), "classes")
-    member = rows.select("doc_id", "node").join(classes.hint("shuffle_hash"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    member = c.cut(member, "members")
-    least = member.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    out = member.join(least, "root", "left")
-    return out.select("doc_id", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    named = sized.select("num", "node", F.col("doc_id").alias("chosen"))
+    picked = texts.join(named.hint("shuffle_hash"), (texts["node"] == named["node"]) & texts["doc_id"].eqNullSafe(F.col("chosen"))).select("num", "text")
+    sent = picked.join(groups.hint("shuffle_hash"), "num")
+    links = sent.groupBy("root", "low", "mixed", "i", "j").applyInArrow(_link_groups(threshold), "a long, b long")
+    classes = components(c.cut(links, "links")).withColumnRenamed("node", "num").withColumnRenamed("root", "of")
+    named = nodes.select("node", "doc_id", "n_rows", "num").join(classes.hint("shuffle_hash"), "num", "left").withColumn("of", F.coalesce("of", "num"))
+    named = c.cut(named, "classes")
+    least = named.groupBy("of").agg(F.min("doc_id").alias("class_id"), F.sum("n_rows").alias("n")).where("n > 1").drop("n")
+    shared = named.join(least.hint("shuffle_hash"), "of").select("node", "class_id", F.lit(True).alias("shared"))
+    out = rows.select("doc_id", "node").join(shared.hint("shuffle_hash"), "node", "left")
+    return out.select("doc_id", F.when(F.col("shared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_name: str = "doc_id", text_name: str = "text", **options) -> DataFrame:
@@ -497,5 +535,8 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_name: str = "do
     Rows without an id or without words stay; so do rows that share the least id of their class.
     """
     classes = near_duplicates(docs, threshold, id_name=id_name, text_name=text_name, **options)
-    gone = classes.where("class_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_name] == F.col("gone"), "left_anti")
+    name = "gone"
+    while name.lower() in map(str.lower, docs.columns):  # a name that no column of the documents has
+        name += "_"
+    gone = classes.where("class_id is not null and doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, c.cell(id_name) == F.col(name), "left_anti")

@@ -134,3 +134,59 @@ def test_isolated_pairs_just_above_the_threshold(spark):
     for n in (10, 20, 40, 60, 100, 400):
         found = [got[i + 1] == i for i, (m, _) in pairs.items() if m == n]
         assert sum(found) >= (1 if n <= om.SHORT else 0.93) * len(found), (n, sum(found), len(found))
+
+
+def test_hot_nodes_are_spread(spark, monkeypatch):
+    rng = random.Random(31)
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1000 + rng.randrange(i)) for i in range(1, 200)] + [(2000, i) for i in range(2001, 2100)] + [(2050, 7)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {(r.node, r.root) for r in om.components(frame).collect()}
+    monkeypatch.setattr(om, "HOT_DEGREE", 20)
+    assert {(r.node, r.root) for r in om.components(frame).collect()} == want
+    assert len(want) == 300 + 200 + 100 and {r for n, r in want} == {0, 1000}
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y"), (3, None, 9, "z")], "doc_id long, text string, gone int, `num.of` string")
+    assert sorted(r.gone for r in om.keep_first(df).collect()) == [7, 9]
+    other = df.withColumnsRenamed({"doc_id": "my.id", "text": "t`t"})
+    assert sorted(r.gone for r in om.keep_first(other, id_name="my.id", text_name="t`t").collect()) == [7, 9]
+
+
+def edit_some(rng, a, share, kind, new):
+    """The words after so many edits of a kind, all of which count."""
+    b, d = list(a), om.allowed(len(a), len(a), share)
+    if kind == "substitutions":
+        for at in rng.sample(range(len(a)), d):
+            b[at] = new()
+    elif kind == "deletions":
+        for at in sorted(rng.sample(range(len(a)), d), reverse=True):
+            del b[at]
+    elif kind == "insertions":
+        for _ in range(int(d / share) if share else d):
+            b.insert(rng.randrange(len(b) + 1), new())
+    else:  # a run of words moves: it is deleted and inserted again
+        n = d // 2
+        at = rng.randrange(len(a) - n)
+        run = b[at : at + n]
+        del b[at : at + n]
+        to = rng.randrange(len(b) + 1)
+        b[to:to] = run
+    return b
+
+
+def test_recall_at_the_threshold():
+    """Share of isolated pairs that are candidates, over lengths and kinds of edits: all short ones, 0.9 of the others at least."""
+    rng = random.Random(41)
+    new = lambda: rng.getrandbits(63)
+    for n in (12, 30, 45, 60, 120, 300, 600):
+        for share in (0.8, 0.83):
+            for kind in ("substitutions", "deletions", "insertions", "moves"):
+                met = total = 0
+                for _ in range(60):
+                    a = [new() for _ in range(n)]
+                    b = edit_some(rng, a, share, kind, new)
+                    x, y = (om.candidate_keys(np.array(t, np.uint64)) for t in (a, b))
+                    met += bool(len(np.intersect1d(x >> np.uint64(1), y >> np.uint64(1))))
+                    total += 1
+                assert met >= (1 if min(len(a), len(b)) <= om.SHORT else 0.9) * total, (n, share, kind, met, total)
