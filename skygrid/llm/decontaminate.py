@@ -8,13 +8,12 @@ compared word by word before they count.  The item table is broadcast only in bl
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common as c
 
@@ -33,26 +32,67 @@ _SPLIT = bytes(x if c.LETTER_WORD[x] else 0x20 for x in c.LOWER)
 
 
 class ItemWindows:
-    """Windows of benchmark items by length: exact texts, hashes and a bit filter."""
+    """Windows of benchmark items by length: sorted hashes with a bit filter before them, and where each window's words stand.
+
+    All of it is a few arrays (about five times the items' text), made once on the driver and broadcast.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], width: int = 13):
-        exact: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ws = words_of(text.encode())
-            size = min(width, len(ws))
-            for i in range(len(ws) - size + 1 if size else 0):
-                exact[size][b" ".join(ws[i : i + size])].add(item)
-        self.exact = {k: dict(v) for k, v in exact.items()}
-        self.hashes, self.filters = {}, {}
-        for size, windows in self.exact.items():
-            raw = b" ".join(windows)
-            b = c.Batch(0, np.zeros(1, np.int64), np.ones(1, bool), np.array([len(raw)]), raw)
-            starts, ends, _ = c.word_bounds(b, c.LETTER_WORD)
-            h = c.segment_hash(np.frombuffer(raw, np.uint8), starts, ends)
-            g = np.unique(window_hash(h, size)[::size])
+        self.ids = np.array([x for x, _ in items], object)
+        words = [words_of(text.encode()) for _, text in items]
+        count = np.array([len(w) for w in words], np.int64)
+        self.text = b" ".join(b" ".join(w) for w in words if w)
+        b = c.Batch(0, np.zeros(1, np.int64), np.ones(1, bool), np.array([len(self.text)]), self.text)
+        self.starts, self.ends, _ = c.word_bounds(b, c.LETTER_WORD)
+        del words
+        h = c.segment_hash(np.frombuffer(self.text, np.uint8), self.starts, self.ends)
+        off = np.cumsum(count) - count
+        sizes = np.minimum(count, width)
+        self.sizes: dict[int, tuple] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == size)
+            n = count[own] - size + 1
+            item = np.repeat(own, n)
+            at = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + off[item]
+            g = window_hash(h, size)[at]
+            order = np.lexsort((at, g))
+            g, at, item = g[order], at[order], item[order]
+            # entries of one hash whose words differ from the first one's are kept apart
+            first = np.ones(len(g), bool)
+            first[1:] = g[1:] != g[:-1]
+            head = np.flatnonzero(first)
+            odd: dict[bytes, list[int]] = {}
+            group = np.cumsum(first) - 1
+            good = np.ones(len(g), bool)
+            for i in np.flatnonzero(~first).tolist():
+                words_i = self._window(at[i], size)
+                if words_i != self._window(at[head[group[i]]], size):
+                    odd.setdefault(words_i, []).append(int(item[i]))
+                    good[i] = False
+            g, at, item = g[good], at[good], item[good].astype(np.int32)
+            begin = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[(g >> c.U64(64 - FILTER_BITS)).astype(np.int64)] = True
-            self.hashes[size], self.filters[size] = g, bits
+            self.sizes[size] = (g[begin], at[begin].astype(np.int32), np.append(begin, len(g)).astype(np.int32), item, np.packbits(bits), odd)
+
+    def _window(self, at: int, size: int) -> bytes:
+        return self.text[self.starts[at] : self.ends[at + size - 1]]
+
+    def find(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that windows of this length have, and those windows' numbers."""
+        known, _, _, _, packed, _ = self.sizes[size]
+        cell = (hashes >> c.U64(64 - FILTER_BITS)).astype(np.int64)
+        at = np.flatnonzero((packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
+        which = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+        same = known[which] == hashes[at]
+        return at[same], which[same]
+
+    def items_of(self, size: int, which: int, words: bytes) -> list[int]:
+        """Items in which a window with these words stands; none if only the hash was equal."""
+        _, at, begin, item, _, odd = self.sizes[size]
+        if self._window(at[which], size) == words:
+            return item[begin[which] : begin[which + 1]].tolist()
+        return odd.get(words, [])
 
 
 def window_hash(h: np.ndarray, size: int) -> np.ndarray:
@@ -67,37 +107,60 @@ def scan(b: c.Batch, items: ItemWindows):
     n = len(starts)
     step = np.zeros(n + 1, np.int32)
     found: list[set] = [set() for _ in range(len(b))]
-    if n and items.exact:
+    if n and items.sizes:
         h = c.segment_hash(raw, starts, ends)
-        for size, windows in items.exact.items():
-            g = window_hash(h, size)
-            at = np.flatnonzero(items.filters[size][(g >> c.U64(64 - FILTER_BITS)).astype(np.int64)])
-            known = items.hashes[size]
-            at = at[known[np.minimum(np.searchsorted(known, g[at]), len(known) - 1)] == g[at]]
+        met = set()
+        for size in items.sizes:
+            at, which = items.find(size, window_hash(h, size))
             doc = np.searchsorted(first, at, "right") - 1
             inside = first[doc + 1] >= at + size
-            for i, d in zip(at[inside].tolist(), doc[inside].tolist()):
-                ids = windows.get(b" ".join(low[x:y] for x, y in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist())))
-                if ids is not None:
+            for i, d, k in zip(at[inside].tolist(), doc[inside].tolist(), which[inside].tolist()):
+                words = b" ".join(low[x:y] for x, y in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist()))
+                own = items.items_of(size, k, words)
+                if own:
                     step[i] += 1
                     step[i + size] -= 1
-                    found[d] |= ids
+                    if (d, words) not in met:  # a window met before in this document adds no item
+                        met.add((d, words))
+                        found[d].update(items.ids[own])
     return starts, ends, first, np.cumsum(step)[:n] > 0, found
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, limit: int) -> list[list[tuple[str | None, str]]]:
-    """Items in blocks whose size was checked before they are fetched."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    n = int(total // limit) + 1
-    if n == 1:
-        return [[tuple(r) for r in items.collect()]]
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[tuple(r) for r in items.where(part == k).collect()] for k in range(n)]
+def _pieces(text: str, limit: int, width: int):
+    """The text, or, if it is longer than the limit, pieces of it that together hold the same windows."""
+    if len(text) <= limit // 4:
+        yield text
+        return
+    words = words_of(text.encode())
+    a = 0
+    while a < len(words):
+        z, size = a, 0
+        while z < len(words) and (size < limit // 2 or z - a < width):
+            size += len(words[z]) + 1
+            z += 1
+        yield b" ".join(words[a:z]).decode()
+        if z == len(words):
+            break
+        a = z - width + 1
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, limit: int, width: int):
+    """Items in blocks of at most about ``limit`` bytes, fetched a partition at a time; an item beyond that comes in pieces."""
+    items = benchmark.select(c.cell(item_id).cast("string").alias("item"), F.coalesce(c.cell(item_text).cast("string"), F.lit("")).alias("text"))
+    block, size = [], 0
+    for item, text in items.distinct().toLocalIterator():
+        for piece in _pieces(text, limit, width):
+            more = len(piece.encode()) + 32
+            if block and size + more > limit:
+                yield block
+                block, size = [], 0
+            block.append((item, piece))
+            size += more
+    yield block
 
 
 def find_hits(
-    docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None,
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None, percent: int | None = None,
     id_name: str = "doc_id", text_name: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """Documents with the words that lie in an occurring benchmark window.
@@ -111,19 +174,24 @@ def find_hits(
     fields = StructType.fromDDL(SCAN_SCHEMA)
     for k in carry or []:
         fields = fields.add(c.CARRIED + k, docs.schema[k].dataType)
-    out = c.select_documents(docs, id_name, text_name, carry)
-    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
-    for number, block in enumerate(blocks):
-        table = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(table, width, fields.names, number > 0), fields)
-        if number + 1 < len(blocks):
+    out, number, blocks = c.select_documents(docs, id_name, text_name, carry), 0, item_blocks(benchmark, item_id, item_text, block_bytes, width)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        table = spark.sparkContext.broadcast(ItemWindows(block, width))
+        last = after is None and percent is not None
+        end = StructType([*fields, StructField("cut", StringType())]) if last else fields
+        out = out.mapInArrow(_scanner(table, width, end.names, number > 0, percent), end)
+        if after is not None:
             out = c.cut(out, "hits")
+            table.destroy()
+        block, number = after, number + 1
     return out
 
 
-def _scanner(table, width: int, names: list[str], again: bool):
+def _scanner(table, width: int, names: list[str], again: bool, percent: int | None):
     def run(records):
-        items = ItemWindows(table.value, width)
+        items = table.value
         for rec in records:
             # whole record batches: the carried columns and nulls stay as they are
             lens, _, buf = c.text_bytes(rec.column(rec.schema.get_field_index("text")))
@@ -151,6 +219,9 @@ def _scanner(table, width: int, names: list[str], again: bool):
                     runs[d] = pairs.astype(np.int64).tobytes()
                 ids = [sorted(x for x in s if x is not None) for s in found]
                 own = {"hit_runs": pa.array(runs, pa.binary()), "item_ids": pa.array(ids, pa.list_(pa.string())), "n_words": pa.array(np.diff(first).astype(np.int64)), "n_hit": pa.array(n_hit.astype(np.int64))}
+                if "cut" in names:
+                    words = np.diff(first)
+                    own["cut"] = pa.array([without(b.text(d), runs[d]) if 0 < n_hit[d] and n_hit[d] * 100 < words[d] * percent else None for d in range(len(b))], pa.string())
                 yield pa.RecordBatch.from_arrays([own[k] if k in own else part.column(part.schema.get_field_index(k)) for k in names], names=names)
                 a = z
 
@@ -177,32 +248,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, percen
     leaving one space.  Untouched documents, null and empty texts included, stay as they are; an integer column ``n_chars``
     is counted anew where text was cut.
     """
-    carry = list(docs.columns)
-    hits = find_hits(docs, benchmark, width, carry=carry, id_name=id_name, text_name=text_name, **names).where(~contaminated(percent))
-
-    @F.pandas_udf("string")
-    def cut_runs(texts, runs):
-        import pandas as pd
-
-        return pd.Series([without(t, r) for t, r in zip(texts, runs)], dtype=object)
-
-    out = hits.withColumn("carried text", F.when(F.col("n_hit") > 0, cut_runs("text", "hit_runs")))
+    carry = [k for k in docs.columns if k != text_name]
+    hits = find_hits(docs, benchmark, width, carry=carry, percent=percent, id_name=id_name, text_name=text_name, **names).where(~contaminated(percent))
     cells = []
-    for k in carry:
-        own = F.col(f"`{c.CARRIED}{k}`")
+    for k in docs.columns:
+        own = c.cell(c.CARRIED + k)
         if k == text_name:
-            own = F.when(F.col("n_hit") > 0, F.col("carried text")).otherwise(own)
+            own = F.when(F.col("n_hit") > 0, F.col("cut")).otherwise(F.col("text"))
         elif k == "n_chars":
-            own = F.when(F.col("n_hit") > 0, F.length("carried text").cast(docs.schema[k].dataType)).otherwise(own)
+            own = F.when(F.col("n_hit") > 0, F.length("cut").cast(docs.schema[k].dataType)).otherwise(own)
         cells.append(own.alias(k))
-    return out.select(*cells)
+    return hits.select(*cells)
 
 
-def without(text: str | None, runs: bytes | None) -> str | None:
+def without(raw: bytes, runs: bytes) -> str:
     """The text with byte ranges replaced by one space each."""
-    if not text or not runs:
-        return text
-    raw, parts, at = text.encode(), [], 0
+    parts, at = [], 0
     for x, y in np.frombuffer(runs, np.int64).reshape(-1, 2):
         parts.append(raw[at:x])
         at = y

@@ -1,8 +1,11 @@
 import hashlib
+import pickle
 import random
 import re
 
-from skygrid.llm.decontaminate import contamination, decontaminate
+import numpy as np
+
+from skygrid.llm.decontaminate import ItemWindows, _pieces, contamination, decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -72,3 +75,32 @@ def test_documents_and_spans_go(spark):
     assert contamination(out, bench).where("n_hit > 0 and n_items > 0 and n_hit >= 13").count() == 0
     assert decontaminate(docs.limit(0), bench).collect() == []
     assert contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_a_long_item_comes_in_pieces_with_the_same_windows():
+    text = " ".join(f"w{i % 37}x{i}" for i in range(3000))
+    blocks = list(_pieces(text, 4000, 13))
+    assert len(blocks) > 3 and max(map(len, blocks)) < 4000
+    cut = lambda t: {tuple(t.split()[i : i + 13]) for i in range(len(t.split()) - 12)}
+    assert set().union(*map(cut, blocks)) == cut(text)
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    from skygrid.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "window_hash", lambda h, size: module.c.grams(h, size) % module.c.U64(7))
+    docs, items = sample()
+    index = ItemWindows([(None if i is None else str(i), t or "") for i, t in items])
+    for d, t in docs[:20]:
+        raw = (t or "").encode()
+        b = module.c.Batch(0, np.zeros(1, np.int64), np.ones(1, bool), np.array([len(raw)]), raw)
+        *_, hit, found = module.scan(b, index)
+        want = next(r for r in brute([(d, t)], items))
+        assert int(hit.sum()) == want[2] and len({x for x in found[0] if x is not None}) == want[3]
+
+
+def test_the_index_is_small():
+    rng = np.random.default_rng(3)
+    items = [(str(i), " ".join(map(str, rng.integers(0, 10**6, 300)))) for i in range(500)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(ItemWindows(items))) < 8 * size + (1 << 20)
