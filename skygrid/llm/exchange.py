@@ -9,8 +9,9 @@ All operators that look for equal windows (words, bytes or line chunks) share th
    a key occurs there); what comes back is one bit a key: does it occur elsewhere?  A 128-bit digest of
    each whole text travels as well, so that exact copies are settled once.
 3. *reads*: segments whose anchor occurs once cannot hold a repeated window and are dropped, which
-   loses nothing.  Equal segments of a batch are combined before the shuffle.  The others go, as text,
-   to the bucket of their anchor, where the operator's own index decides on the symbols themselves.
+   loses nothing.  Equal segments of a batch, and frequent ones of a task, are combined before the shuffle.
+   The others go, as text, to the bucket of their anchor, where the operator's own index decides on the symbols
+   themselves.  There is a bucket for so many bytes of text, whatever the number of tasks.
 4. *finish*: each batch receives its runs of repeated windows and writes one row a document.
 
 Each pass ends in a durable table or a shuffle keyed by bucket or batch; nothing is gathered on the
@@ -35,6 +36,11 @@ from . import common as c
 from .common import Batch
 
 LAST = np.iinfo(np.int64).max
+#: Bytes of text for which a bucket is made; a bucket is resolved in one Python process.
+BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS = 16
+#: Bytes of reads that a task remembers, so that a frequent read travels once a task and not once a batch.
+HELD_BYTES = 8 << 20
 
 
 @dataclass
@@ -184,6 +190,8 @@ def _send_reads(w: Windows, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("data", pa.binary())])
 
     def run(records):
+        held: dict[tuple, int] = {}  # frequent reads of the task's earlier batches, with the least id of each
+        size = 0
         for row in c.rows_of(records):
             b = c.unpack(row)
             order = order_of(b)
@@ -210,32 +218,41 @@ def _send_reads(w: Windows, buckets: int):
             texts = w.read_texts(b, state, s, at)
             # Equal reads of the batch: the earliest travels, later ones are settled here.
             first: dict[tuple, int] = {}
-            send, drop = [], []
+            send, drop, known = [], [], []
             shift = s.anchor[at] - s.start[at]
             docs_at, same_doc = s.doc[at], w.same_document_counts()
             for i, (t, k) in enumerate(zip(texts, shift.tolist())):
-                j = first.setdefault((t, k), i)
-                if j == i:
-                    send.append(i)
-                elif order[docs_at[i]] > order[docs_at[j]] or (same_doc and docs_at[i] == docs_at[j]):
+                j, mine = first.setdefault((t, k), i), int(order[docs_at[i]])
+                if j != i and (mine > order[docs_at[j]] or (same_doc and docs_at[i] == docs_at[j])):
                     drop.append(i)
-                else:  # the same doc_id, not earlier
+                elif held.get((t, k), mine) < mine:
+                    known.append(i)
+                else:  # the first of its kind, or of the same doc_id and not earlier
                     send.append(i)
+                    if (t, k) not in held:
+                        size += len(t) + 200
+                    held[t, k] = mine
             gone = at[np.array(drop, np.int64)]
             done.append((s.start[gone], s.stop[gone]))
             starts, stops = (np.concatenate(x) for x in zip(*done))
             out = []
             if len(starts):
                 out.append((-1 - b.number % buckets, b.number, pack_data(starts, stops)))
-            send = np.array(send, np.int64)
-            to = bucket_of(s.key[at[send]], buckets)
+            if size > HELD_BYTES:
+                held, size = {}, 0
+            # what an earlier batch of the task settles goes the way of the read that settles it: if the task
+            # is tried again and meets its batches in another order, either all of a key or nothing is replaced
+            send, known = np.array(send, np.int64), np.array(known, np.int64)
+            both = np.concatenate([send, known])
+            to, is_known = bucket_of(s.key[at[both]], buckets), np.arange(len(both)) >= len(send)
             by = np.argsort(to, kind="stable")
             for k, part in split_by(to[by], buckets):
-                i = send[by[part]]
+                i, rest = both[by[part]], is_known[by[part]]
+                i, rest = i[~rest], i[rest]
                 mine = [texts[j] for j in i]
                 sizes = np.array([len(t) for t in mine], np.int64)
-                g = at[i]
-                out.append((k, b.number, pack_data(s.doc[g].astype(np.int32), order[s.doc[g]], s.start[g], shift[i].astype(np.int32), sizes, b"".join(mine))))
+                g, r = at[i], at[rest]
+                out.append((k, b.number, pack_data(s.doc[g].astype(np.int32), order[s.doc[g]], s.start[g], shift[i].astype(np.int32), sizes, b"".join(mine), s.start[r], s.stop[r])))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
@@ -254,9 +271,11 @@ def _resolve_reads(w: Windows):
             off = np.concatenate([np.zeros(1, np.int64), np.cumsum(p[4])]).tolist()
             texts += [p[5][a:z] for a, z in zip(off, off[1:])]
         r = Reads(np.repeat(np.array(numbers, np.int64), [len(p[0]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in range(4)), texts)
+        settled = [np.repeat(np.array(numbers, np.int64), [len(p[6]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (6, 7))]
         del parts
-        read, starts, stops = w.resolve(r)
-        batch = r.batch[read]
+        read, starts, stops = w.resolve(r) if texts else ((np.zeros(0, np.int64),) * 3)
+        batch, starts, stops = (np.concatenate(x) for x in zip((r.batch[read], starts, stops), settled))
+        c.release()
         by = np.argsort(batch, kind="stable")
         found, cuts = np.unique(batch[by], return_index=True)
         data = [pack_data(starts[i], stops[i]) for i in np.split(by, cuts[1:])] if len(found) else []
@@ -278,11 +297,11 @@ def merge(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], stops[last]
 
 
-def find_repeats(docs: DataFrame, w: Windows, id_name: str = "doc_id", text_name: str = "text", carry: list[str] | None = None) -> DataFrame:
+def find_repeats(docs: DataFrame, w: Windows, id_name: str = "doc_id", text_name: str = "text", carry: list[str] | None = None, pack_bytes: int = c.PACK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Run the passes; one row a document, in the columns of ``w.schema`` and those carried."""
-    spark = docs.sparkSession
-    buckets = max(16, c.partitions(spark))
-    packed = c.pack_documents(docs, id_name, text_name, carry)
+    packed = c.pack_documents(docs, id_name, text_name, carry, pack_bytes)
+    total = packed.agg(F.sum("size")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
 
     def with_back(back: DataFrame) -> DataFrame:
         return packed.join(back.hint("shuffle_hash"), "batch", "left")

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from skygrid.llm.column_bwt import remove_repeated_bytes
+from skygrid.llm.column_bwt import ByteWindows, remove_repeated_bytes
+from skygrid.llm.exchange import find_repeats
 
 
 def brute(rows, width):
@@ -82,3 +83,16 @@ def test_width_is_checked():
 
     with pytest.raises(ValueError):
         ByteWindows(8)
+
+
+def test_many_packs_of_one_task(spark):
+    """Reads that a task met in an earlier pack are settled by it, whatever the order of the ids."""
+    rng = random.Random(9)
+    hot, rows = words(rng, 30), []
+    for i in range(60):
+        rows.append((i * 17 % 61 if i % 7 else None, " ".join([words(rng, rng.randint(0, 9)), hot, words(rng, rng.randint(0, 9))])))
+    rows += [(5, hot), (5, hot + " " + hot), (None, hot)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for pack, bucket in ((300, 2000), (1500, 1 << 20)):
+        got = find_repeats(df, ByteWindows(40), pack_bytes=pack, bucket_bytes=bucket)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 40)

@@ -83,3 +83,10 @@ def test_prefix_groups_cover_all_suffixes_and_keep_equal_ones_together():
         for x in keys:
             assert windows.setdefault(x, k) == k
     assert sorted(np.concatenate(seen)) == list(at)
+
+
+def test_many_packs_of_one_task(spark):
+    rows = sample(random.Random(15)) * 2 + [(None, sample(random.Random(15))[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = find_repeats(df, WordWindows(7), pack_bytes=400, bucket_bytes=1500)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 7)
