@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import column_bwt, decontaminate, gam, line_chunks, order_minhash, piece_offsets, rule_ledger, suffix_trees, token_rollups, warc_sharded
-from .common import shared_path
+from .common import cut, shared_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
 TOKENIZERS = ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
@@ -54,12 +55,21 @@ def op8_rule_ledger(spark, sf_dir):
 
 
 def op9_token_rollups(spark, sf_dir):
-    """All documents as one batch, delivered twice as a retry would; totals by source, language and tokenizer version."""
+    """Totals by source, language and tokenizer version after inserts, revisions, deletes, a redelivery and a compaction.
+
+    All documents are counted once; the counted images come in under a provisional source, are revised to their own
+    one, deleted and inserted again, so that every kind of change sees the whole table.
+    """
     rollup = token_rollups.Rollup(spark, shared_path(spark, "rollup"))
-    docs = table(spark, sf_dir, "documents")
-    versions = {name: tokenizer_path(name) for name in TOKENIZERS}
-    for _ in range(2):
-        rollup.apply("documents-1", token_rollups.inserts(docs), versions)
+    images = cut(token_rollups.count_tokens(token_rollups.inserts(table(spark, sf_dir, "documents")), {name: tokenizer_path(name) for name in TOKENIZERS}), "images")
+    incoming = images.withColumn("source", F.lit("incoming"))
+    batches = {
+        "1-inserts": incoming, "2-revisions": token_rollups.reversed_images(incoming).unionByName(images), "3-deletes": token_rollups.reversed_images(images), "4-inserts": images,
+    }
+    for name, changes in batches.items():
+        rollup.apply_counted(name, changes)
+    rollup.apply_counted("2-revisions", batches["2-revisions"])  # delivered twice, as a retry would
+    rollup.compact()
     return rollup.totals()
 
 

@@ -2,9 +2,18 @@
 
 A change batch holds signed images of documents: an insert is +1, a delete -1 with the old image, a
 revision both.  A batch is counted once, reduced to additive deltas by source, language and tokenizer
-version, written under a staging name and committed by creating its manifest, which fails if the batch
-was committed before.  Totals are sums over the committed deltas, so applying a batch again, or a
-retried job, changes nothing.  ``compact`` folds committed deltas into one, under the same protocol.
+version, written under a staging name and committed by a manifest that is written under a temporary name
+and renamed without overwriting, which fails if the batch was committed before.  Totals are sums over the
+committed deltas, so applying a batch again, or a retried job, changes nothing; a driver lost before the
+rename leaves no manifest, and the batch can be applied again.  ``compact`` folds committed deltas into
+one, under the same protocol.
+
+Every function takes repeated rows and ties as they are: each row is an image of its own and counts once.
+Nulls in source or language are keys like others, a null text counts zero tokens and bytes, and an empty table
+makes an empty batch.  Columns other than those named are ignored, whatever they are called.
+
+The folder must be on a file system whose rename does not overwrite (HDFS; on a local one two drivers that
+commit the same batch in the same instant are not told apart).
 """
 
 from __future__ import annotations
@@ -13,6 +22,7 @@ import json
 import uuid
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +48,26 @@ def load_tokenizer(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [len(own.encode_ordinary(t)) if t else 0 for t in texts]
+    return lambda texts: [_count_ordinary(own, t) if t else 0 for t in texts]
+
+
+#: White space of so many characters is encoded by itself: the library's pattern backtracks over it and overflows its stack.
+LONG_BLANKS = regex.compile(r"\p{White_Space}{20000,}")
+
+
+def _count_ordinary(own, text: str) -> int:
+    """Tokens of a text.  The pattern makes one piece of white space, up to its last sign if others follow."""
+    n, at = 0, 0
+    for m in LONG_BLANKS.finditer(text):
+        if m.start() > at:
+            n += len(own.encode_ordinary(text[at : m.start()]))
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(own._encode_single_piece(text[m.start() : at]))
+    return n + (len(own.encode_ordinary(text[at:])) if at < len(text) else 0)
+
+
+IMAGE = ["sign", "source", "lang", "tokenizer", "n_tokens", "n_bytes"]
+IMAGE_SCHEMA = "sign long, source string, lang string, tokenizer string, n_tokens long, n_bytes long"
 
 
 def count_tokens(changes: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
@@ -50,28 +79,37 @@ def count_tokens(changes: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
             texts = [t or "" for t in rec.column(3).to_pylist()]
             size = pa.array([len(t.encode()) for t in texts], pa.int64())
             for name, count in known.items():
-                yield pa.RecordBatch.from_arrays([rec.column(0), rec.column(1), rec.column(2), pa.array([name] * len(texts), pa.string()), pa.array(count(texts), pa.int64()), size], names=names)
+                yield pa.RecordBatch.from_arrays([rec.column(0), rec.column(1), rec.column(2), pa.array([name] * len(texts), pa.string()), pa.array(count(texts), pa.int64()), size], names=IMAGE)
+
+    changes.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(c.ARROW_BYTES))
+    return changes.select("sign", "source", "lang", "text").mapInArrow(run, IMAGE_SCHEMA)
+
 
-    names = ["sign", "source", "lang", "tokenizer", "n_tokens", "n_bytes"]
-    return changes.select("sign", "source", "lang", "text").mapInArrow(run, "sign long, source string, lang string, tokenizer string, n_tokens long, n_bytes long")
+def inserts(docs: DataFrame, source_name: str = "source", lang_name: str = "lang", text_name: str = "text") -> DataFrame:
+    """An image with sign 1 of every row, repeated ones too."""
+    cells = {"source": source_name, "lang": lang_name, "text": text_name}
+    return docs.select(F.lit(1).cast("long").alias("sign"), *(c.cell(v).cast("string").alias(k) for k, v in cells.items()))
 
 
-def inserts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.lit(1).cast("long").alias("sign"), *(F.col(k).cast("string") for k in ("source", "lang", "text")))
+def deletes(docs: DataFrame, **names) -> DataFrame:
+    """An image with sign -1 of every row, which has to be as it was when it came in."""
+    return inserts(docs, **names).withColumn("sign", F.lit(-1).cast("long"))
 
 
-def deletes(docs: DataFrame) -> DataFrame:
-    return inserts(docs).withColumn("sign", F.lit(-1).cast("long"))
+def revisions(old: DataFrame, new: DataFrame, **names) -> DataFrame:
+    """Old images with sign -1 and new ones with sign 1."""
+    return deletes(old, **names).unionByName(inserts(new, **names))
 
 
-def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
-    return deletes(old).unionByName(inserts(new))
+def reversed_images(counted: DataFrame) -> DataFrame:
+    """Counted images with the other sign: a delete needs no second count where the counts are kept."""
+    return counted.withColumn("sign", -F.col("sign"))
 
 
-def deltas(changes: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
-    """Additive deltas of a batch; map-side sums leave one row a key and task for the shuffle."""
+def deltas(counted: DataFrame) -> DataFrame:
+    """Additive deltas of counted images; map-side sums leave one row a key and task for the shuffle."""
     n = F.col("sign")
-    return count_tokens(changes, tokenizers).groupBy(*KEYS).agg(F.sum(n).alias("n_docs"), F.sum(n * F.col("n_tokens")).alias("n_tokens"), F.sum(n * F.col("n_bytes")).alias("n_bytes"))
+    return counted.groupBy(*KEYS).agg(F.sum(n).alias("n_docs"), F.sum(n * F.col("n_tokens")).alias("n_tokens"), F.sum(n * F.col("n_bytes")).alias("n_bytes"))
 
 
 class Rollup:
@@ -101,30 +139,51 @@ class Rollup:
         return {b for m in found.values() for b in m["batches"]}
 
     def _commit(self, name: str, manifest: dict) -> bool:
-        """Create the manifest; only one writer can."""
+        """Write the manifest under a temporary name and rename it; False if there is one already."""
         from py4j.protocol import Py4JJavaError
 
-        try:
-            stream = self._fs.create(self._path(f"{self.path}/commits/{name}"), False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        self._fs.mkdirs(self._path(f"{self.path}/commits"))
+        temp, to = self._path(f"{self.path}/staging/{uuid.uuid4().hex}"), self._path(f"{self.path}/commits/{name}")
+        stream = self._fs.create(temp, False)
         try:
             stream.write(bytearray(json.dumps(manifest).encode()))
         finally:
             stream.close()
+        kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+        options = sc._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), sc._jsc.hadoopConfiguration()).rename(temp, to, options)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            self._fs.delete(temp, False)
+            return False
         return True
 
+    def _settle(self, name: str, manifest: dict) -> bool:
+        done = self._commit(name, manifest)
+        if not done:  # another attempt was first: its data count, these do not
+            self._fs.delete(self._path(f"{self.path}/{manifest['data']}"), True)
+        return done
+
     def apply(self, batch: str, changes: DataFrame, tokenizers: dict[str, str]) -> bool:
         """Count and commit a batch; False if it was committed before."""
-        if not batch or "/" in batch:
+        return False if self._known(batch) else self.apply_counted(batch, count_tokens(changes, tokenizers))
+
+    def _known(self, batch: str) -> bool:
+        if not batch or "/" in batch or batch.startswith("."):
             raise ValueError("a batch needs a plain name")
-        if batch in self.committed():
+        return batch in self.committed()
+
+    def apply_counted(self, batch: str, counted: DataFrame) -> bool:
+        """Commit a batch of counted images (the columns of ``count_tokens``); False if it was committed before."""
+        if self._known(batch):
             return False
         staged = f"data/{batch}-{uuid.uuid4().hex}"
-        deltas(changes, tokenizers).write.parquet(f"{self.path}/{staged}")
-        return self._commit(batch, {"batches": [batch], "data": staged})
+        deltas(counted).write.parquet(f"{self.path}/{staged}")
+        return self._settle(batch, {"batches": [batch], "data": staged})
 
     def _visible(self) -> list[str]:
         """Data folders that count: a compaction hides the single commits it covers."""
@@ -152,4 +211,4 @@ class Rollup:
             return False
         staged = f"data/compact-{uuid.uuid4().hex}"
         self.totals().write.parquet(f"{self.path}/{staged}")
-        return self._commit(f"compact-{len(batches)}-{uuid.uuid4().hex}", {"batches": batches, "data": staged})
+        return self._settle(f"compact-{len(batches)}-{uuid.uuid4().hex}", {"batches": batches, "data": staged})
