@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id and written by one task a range.  A task rolls its file once the
-compressed size reaches a limit; every record is a gzip member of its own with headers, ids and digests
+Records are range-sorted by page id and written by one task a range.  The ranges follow from the pages alone:
+a sample of ids picked by their hash, weighted with the payloads' bytes, is cut at even shares, so neither the
+input's layout nor the run changes a file.  A task rolls its file once the compressed size reaches a limit; every record is a gzip member of its own with headers, ids and digests
 made anew from its content, so a repeated attempt writes the same bytes.  Files get their names by a
 rename from an attempt's own temporary name; the manifest table, itself committed by Spark's job commit,
 lists the files that count, in parts that can be read separately.
@@ -26,7 +27,11 @@ from . import common as c
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL_BYTES = 1 << 28
 PART_BYTES = 8 << 20
+#: Bytes of payload for which a shard is made, so many shards at most, and ids that decide their bounds.
+SHARD_BYTES, MOST_SHARDS, SAMPLE = 16 << 20, 1 << 15, 20_000
 LEAST = 100
+#: Tasks over which one payload's pages are dealt to meet the page they revisit.
+SALTS = 16
 MANIFEST_SCHEMA = "file string, start long, stop long, n_records long, sha256 string"
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -114,6 +119,36 @@ class ShardWriter:
         return self.parts
 
 
+def shard_bounds(sizes: DataFrame, shards: int | None = None) -> list[int]:
+    """Least ids of all shards but the first, from (page_id, n_bytes); the same for the same pages, whatever their layout.
+
+    Only about SAMPLE ids reach the driver: those whose hash falls into one of enough classes.
+    """
+    own = sizes.where("page_id is not null").groupBy("page_id").agg(F.sum(F.col("n_bytes") + 1).alias("w"))
+    n, total = own.agg(F.count(F.lit(1)), F.sum("w")).first()
+    if not n:
+        return []
+    shards = shards or int(min(MOST_SHARDS, total // SHARD_BYTES + 1))
+    classes = n // SAMPLE + 1
+    rows = sorted(map(tuple, own.where(F.pmod(F.xxhash64("page_id"), F.lit(classes)) == 0).collect()))
+    share, bounds, done = sum(w for _, w in rows) / shards, [], 0
+    for page, w in rows:
+        if done and done >= share * (len(bounds) + 1):
+            bounds.append(page)
+            while done >= share * (len(bounds) + 1):  # a page as large as several shards
+                share = max(share, (done + 1) / (len(bounds) + 1))
+        done += w
+    return bounds[: shards - 1]
+
+
+def shard_of(page, bounds: list[int]):
+    """Number of bounds up to the page, by binary search in a constant array; null ids are in shard 0."""
+    steps = len(bounds).bit_length()
+    table = F.array(*[F.lit(x).cast("long") for x in bounds + [2**63 - 1] * ((1 << steps) - len(bounds))])
+    halves = F.array(*[F.lit(1 << k) for k in range(steps - 1, -1, -1)]) if steps else F.array().cast("array<int>")
+    return F.aggregate(halves, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) <= page, low + step).otherwise(low))
+
+
 def write_warc(
     pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str = "2024-01-01T00:00:00Z", shards: int | None = None,
     id_name: str = "page_id", url_name: str = "url", html_name: str = "html",
@@ -124,26 +159,33 @@ def write_warc(
     revisit it; smaller payloads are responses.  A null html is an empty payload; a null url gets a placeholder;
     rows that share the smallest id are all responses; pages with a null id revisit a page with an id, if there is one.
     """
-    own = pages.select(F.col(id_name).cast("long").alias("page_id"), F.col(url_name).cast("string").alias("url"), F.coalesce(F.col(html_name).cast("string"), F.lit("")).alias("html"))
-    narrow = own.where(F.octet_length("html") >= LEAST).select("page_id", F.sha2("html", 256).alias("digest"))
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    revisits = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    own = pages.select(c.cell(id_name).cast("long").alias("page_id"), c.cell(url_name).cast("string").alias("url"), F.coalesce(c.cell(html_name).cast("string"), F.lit("")).alias("html"))
+    narrow = c.cut(own.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("n_bytes")), "digests")
+    bounds = shard_bounds(narrow, shards)
+    large = narrow.where(F.col("n_bytes") >= LEAST).select("page_id", "digest")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    # a payload that all hosts share is dealt out over several tasks
+    salted = large.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(SALTS)), F.lit(0)).cast("int"))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = salted.join(first, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
     # one shuffle of the payloads: a page and the row that makes it a revisit meet in the range sort
     marks = revisits.select("page_id", F.lit(0).alias("side"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), F.col("first"))
     rows = own.select("page_id", F.lit(1).alias("side"), "url", "html", F.lit(None).cast("long").alias("first")).unionByName(marks)
-    n = shards or c.partitions(pages.sparkSession)
-    ranged = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "side", "url", "html")
+    rows = rows.withColumn("shard", shard_of(F.col("page_id"), bounds))
+    ranged = rows.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "side", "url", "html").select("page_id", "side", "url", "html", "first", "shard")
     schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("n_records", pa.int64()), ("sha256", pa.string())])
 
     def run(records):
         from pyspark import TaskContext
 
-        t = TaskContext.get()
-        out = ShardWriter(folder, t.partitionId(), t.taskAttemptId(), roll_bytes, date)
-        page, refers = object(), {}
+        attempt = TaskContext.get().taskAttemptId()
+        out, page, refers = None, object(), {}
         done: list[tuple] = []
         for rec in records:
             for r in c.rows_of([rec]):
+                if out is None or r["shard"] != out.shard:  # a task may hold several shards, one after another
+                    done += out.close() if out else []
+                    out, page = ShardWriter(folder, r["shard"], attempt, roll_bytes, date), object()
                 if r["page_id"] != page:
                     page, refers = r["page_id"], {}
                 if r["side"] == 0:
@@ -152,10 +194,11 @@ def write_warc(
                 payload = r["html"].encode()
                 digest = hashlib.sha256(payload).hexdigest()
                 done += out.add(page, r["url"], payload, digest, refers.get(digest), digest in refers)
-        done += out.close()
+        done += out.close() if out else []
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), schema)], schema=schema)
 
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(c.ARROW_BYTES))
     return c.cut(ranged.mapInArrow(run, MANIFEST_SCHEMA), "warc-manifest")
 
 
