@@ -249,18 +249,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_name: str
     return fit(np.array([x for _, x in got]).reshape(-1, len(FEATURES)), np.array([known[d] for d, _ in got]), **options)
 
 
-def score_documents(docs: DataFrame, model: Gam, carry: list[str] | None = None, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) and the carried columns of every document; null and empty texts are scored alike."""
+def score_documents(docs: DataFrame, model: Gam, carry: list[str] | None = None, id_name: str = "doc_id", text_name: str = "text", keep_text: bool = False) -> DataFrame:
+    """doc_id, score (0 to 1), the text if asked for, and the carried columns of every document; null and empty texts are scored alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = c.select_documents(docs, id_name, text_name, carry)
-    fields = picked.select("doc_id", F.lit(0.0).alias("score"), *[f"`{c.CARRIED}{k}`" for k in carry or []]).schema
+    first = 1 if keep_text else 2
+    fields = picked.select("doc_id", F.lit(0.0).alias("score"), *["text"][: 2 - first], *[c.cell(c.CARRIED + k) for k in carry or []]).schema
 
     def run(records):
         model = shared.value
         for rec in records:
             parts = [model.score(features(b)) for _, b in document_batches(rec)]
             s = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([rec.column(0), pa.array(s), *rec.columns[2:]], names=fields.names)
+            yield pa.RecordBatch.from_arrays([rec.column(0), pa.array(s), *rec.columns[first:]], names=fields.names)
 
     return picked.mapInArrow(run, fields)
 
@@ -273,6 +274,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The documents that the classifier accepts, in their own columns."""
-    carry = list(docs.columns)
-    out = score_documents(docs, train(docs, labels, sample), carry).where(F.col("score") >= threshold)
-    return out.select(*[F.col(f"`{c.CARRIED}{k}`").alias(k) for k in carry])
+    carry = [k for k in docs.columns if k != "text"]
+    out = score_documents(docs, train(docs, labels, sample), carry, keep_text=True).where(F.col("score") >= threshold)
+    return out.select(*[(F.col("text") if k == "text" else c.cell(c.CARRIED + k)).alias(k) for k in docs.columns])

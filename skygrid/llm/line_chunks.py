@@ -150,13 +150,20 @@ def dedup_lines(docs: DataFrame, mean: int = 4, roll: int = 2, id_name: str = "d
     A document that lost nothing stays as it is, empty or null ones included.  An integer column
     ``n_chars`` is counted anew where lines went.
     """
-    carry = list(docs.columns)
-    out = remove_repeated_chunks(docs, mean, roll, True, carry, id_name, text_name)
+    none = "none"
+    while none in docs.columns:  # a name that no column of the documents has
+        none += "_"
+    carry = [k for k in docs.columns if k != text_name] + [none]
+    # the text travels once: where nothing went, what is left is the text, and a null one is marked
+    out = remove_repeated_chunks(docs.withColumn(none, c.cell(text_name).isNull()), mean, roll, True, carry, id_name, text_name)
     changed = F.col("n_removed") > 0
     out = out.where(~changed | F.col("kept").rlike("[^\\x20\\x09-\\x0D]"))
-    kept = {text_name: F.when(changed, F.col("kept")), "n_chars": F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)) if "n_chars" in carry else None}
     cells = []
-    for k in carry:
-        own = F.col(f"`{c.CARRIED}{k}`")
-        cells.append((F.when(changed, kept[k]).otherwise(own) if k in kept and kept[k] is not None else own).alias(k))
+    for k in docs.columns:
+        own = c.cell(c.CARRIED + k)
+        if k == text_name:
+            own = F.when(~c.cell(c.CARRIED + none), F.col("kept"))
+        elif k == "n_chars":
+            own = F.when(changed, F.length("kept").cast(docs.schema[k].dataType)).otherwise(own)
+        cells.append(own.alias(k))
     return out.select(*cells)
