@@ -34,13 +34,17 @@ def order_number(order: str | int) -> int:
 def check_pair(source: Wcs, target: Wcs) -> None:
     """Descriptions must agree in dimensions and in the kinds of their axes."""
     if source.naxis != target.naxis:
-        raise ValueError("input and output descriptions differ in their number of dimensions")
-    if source.has_celestial != target.has_celestial:
-        raise ValueError("only one of the descriptions has celestial axes")
-    if source.has_spectral != target.has_spectral:
-        raise ValueError(f"{'Output' if not target.has_spectral else 'Input'} WCS has no spectral component, the other one has")
-    if source.has_spectral and source.ctype[source.spectral][:4] != target.ctype[target.spectral][:4]:
-        raise ValueError("the spectral axes are of different types")
+        raise ValueError(f"Number of dimensions in input and output WCS should match (got {source.naxis} and {target.naxis})")
+    for a, b, one, other in ((source, target, "Input", "output"), (target, source, "Output", "input")):
+        if a.has_celestial and not b.has_celestial:
+            raise ValueError(f"{one} WCS has celestial components but {other} WCS does not")
+    if source.has_spectral and target.has_spectral:
+        kinds = source.ctype[source.spectral], target.ctype[target.spectral]
+        if kinds[0][:4] != kinds[1][:4]:
+            raise ValueError(f"The input ({kinds[0]}) and output ({kinds[1]}) spectral coordinate types are not equivalent.")
+    for a, b, one, other in ((source, target, "Input", "output"), (target, source, "Output", "input")):
+        if a.has_spectral and not b.has_spectral:
+            raise ValueError(f"{one} WCS has a spectral component but {other} WCS does not")
 
 
 def mapped(grid: Grid, source: Wcs, pixels: DataFrame, roundtrip: bool = True) -> DataFrame:
@@ -86,14 +90,23 @@ def _taps(c: Column, n: int, order: int) -> tuple[list[Column], list[Column]]:
     return [_mirror(base.cast("long") + k, n) for k in range(-1, order)], w
 
 
-def interpolate(raster: Raster, target, order: str | int = "bilinear", shape=None, roundtrip: bool = True, bounds=None) -> DataFrame:
+def interpolate(raster: Raster, target, order: str | int = "bilinear", shape=None, roundtrip: bool = True, bounds=None, fixed: int = 0) -> DataFrame:
     """Resample onto a grid: plane, y, x, value, footprint for every target pixel.
 
     The footprint is 1 where a value was found.  A missing neighbour makes the value missing.  The map is made once and
-    shared by all planes.  ``bounds`` restricts the target to y0 <= y < y1, x0 <= x < x1.
+    shared by all planes.  ``bounds`` restricts the target to y0 <= y < y1, x0 <= x < x1.  Descriptions of three axes map
+    whole cubes, along all axes; ``fixed`` = 1 leaves the third one alone: each plane is resampled by itself.
     """
     grid, k = Grid.parse(target, shape), order_number(order)
     check_pair(raster.wcs, grid.wcs)
+    if fixed:
+        return _by_plane(raster, grid, k, roundtrip, bounds, fixed)
+    if raster.wcs.naxis == 3:
+        if bounds is not None:
+            raise ValueError("bounds restrict images, not cubes")
+        return _cube(raster, grid, k, roundtrip)
+    if raster.wcs.naxis != 2:
+        raise ValueError("maps have two or three axes")
     spark = raster.pixels.sparkSession
     places = mapped(grid, raster.wcs, grid.pixels(spark, bounds), roundtrip)
     data = raster.pixels if k < 2 else spline_coefficients(raster, k)
@@ -104,25 +117,59 @@ def interpolate(raster: Raster, target, order: str | int = "bilinear", shape=Non
     return out.select("plane", "y", "x", "value", F.col("value").isNotNull().cast("double").alias("footprint"))
 
 
-def sample(places: DataFrame, data: DataFrame, shape: tuple[int, ...], order: int, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
-    """Values of ``data`` at the positions (xi, yi): plane, keys and value; only positions inside have rows."""
-    ny, nx = shape[-2:]
-    ok = places.where(inside(F.col("xi"), nx) & inside(F.col("yi"), ny))
-    ok = bind(ok, {"xi": clamp(F.col("xi"), nx), "yi": clamp(F.col("yi"), ny)})
-    (xs, wx), (ys, wy) = _taps(F.col("xi"), nx, order), _taps(F.col("yi"), ny, order)
-    right = data.select("plane", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("value").alias("v"))
+def _by_plane(raster: Raster, grid: Grid, order: int, roundtrip: bool, bounds, fixed: int) -> DataFrame:
+    """Planes one to one: the descriptions are sliced to their first two axes."""
+    if fixed != 1 or raster.wcs.naxis != 3:
+        raise ValueError("one axis of three can be left alone")
+    if raster.nz != grid.nz:
+        raise ValueError("Dimensions to be looped over must match exactly")
+    flat = Raster(raster.pixels, raster.wcs.without_axis(2), raster.shape[-2:])
+    return interpolate(flat, Grid(grid.wcs.without_axis(2), grid.shape[-2:]), order, None, roundtrip, bounds)
+
+
+def _cube(raster: Raster, grid: Grid, order: int, roundtrip: bool) -> DataFrame:
+    """Three axes at once; cubes that share the description share the map."""
+    spark = raster.pixels.sparkSession
+    at = tuple(F.col(k).cast("double") for k in "xyz")
+    places = move(grid.cells(spark), grid.wcs, raster.wcs, {"at": at}, roundtrip).withColumnsRenamed({f"at_w{i}": f"{k}i" for i, k in enumerate("xyz")})
+    data = raster.pixels if order < 2 else spline_coefficients(raster, order)
+    cube = data.select(F.expr(f"plane div {raster.nz}").alias("plane"), F.pmod("plane", F.lit(raster.nz)).alias("z"), "y", "x", "value")
+    hits = sample(places, cube, raster.shape, order, keys=("z", "y", "x"), axes="xyz")
+    cubes = raster.pixels.select(F.expr(f"plane div {raster.nz}").alias("plane")).distinct()
+    out = cubes.join(grid.cells(spark)).join(hits, ["plane", "z", "y", "x"], "left")
+    return out.select((F.col("plane") * grid.nz + F.col("z")).alias("plane"), "y", "x", "value", F.col("value").isNotNull().cast("double").alias("footprint"))
+
+
+def sample(places: DataFrame, data: DataFrame, shape: tuple[int, ...], order: int, keys: tuple[str, ...] = ("y", "x"), axes: str = "xy") -> DataFrame:
+    """Values of ``data`` at the positions (xi, yi, and zi of a cube): plane, keys and value; only positions inside have rows."""
+    length = dict(zip("xyz", reversed(shape)))
+    within = inside(F.col("xi"), length["x"])
+    for a in axes[1:]:
+        within = within & inside(F.col(f"{a}i"), length[a])
+    ok = bind(places.where(within), {f"{a}i": clamp(F.col(f"{a}i"), length[a]) for a in axes})
+    taps = {a: _taps(F.col(f"{a}i"), length[a], order) for a in axes}
+    spots = [f"s{a}" for a in reversed(axes)]
+    right = data.select("plane", *[F.col(a).alias(f"s{a}") for a in axes], F.col("value").alias("v"))
     if order == 0:
-        near = ok.select(*keys, ys[0].alias("sy"), xs[0].alias("sx"))
-        return near.join(right, ["sy", "sx"]).select("plane", *keys, F.col("v").alias("value"))
-    n = len(xs) * len(ys)
-    axis = lambda at, w, name: F.inline(F.array(*[F.struct(F.lit(i).alias(f"{name}_tap"), a.alias(f"s{name}"), w[i].alias(f"{name}_w")) for i, a in enumerate(at)]))
-    long = ok.select(*keys, "xi", axis(ys, wy, "y")).select(*keys, "y_tap", "sy", "y_w", axis(xs, wx, "x"))
-    long = long.select(*keys, (F.col("y_tap") * len(xs) + F.col("x_tap")).alias("tap"), "sy", "sx", (F.col("y_w") * F.col("x_w")).alias("w")).join(right, ["sy", "sx"])
-    # the weighted neighbours in fixed order; one is missing if fewer than n have a value
-    terms = [F.max(F.when(F.col("tap") == t, F.col("w") * F.col("v"))).alias(f"t{t}") for t in range(n)]
+        near = ok.select(*keys, *[taps[a][0][0].alias(f"s{a}") for a in axes])
+        return near.join(right, spots).select("plane", *keys, F.col("v").alias("value"))
+    n = len(taps["x"][0])
+    # the neighbours along one axis after another, the last axis first, numbered in C order
+    long, tap, weight = ok, F.lit(0), None
+    for done, a in enumerate(reversed(axes)):
+        at, w = taps[a]
+        near = F.inline(F.array(*[F.struct(F.lit(i).alias(f"{a}_tap"), p.alias(f"s{a}"), w[i].alias(f"{a}_w")) for i, p in enumerate(at)]))
+        before = [f"{b}{e}" for b in axes[::-1][:done] for e in ("_tap", "_w")] + spots[:done]
+        long = long.select(*keys, *[f"{b}i" for b in axes[::-1][done + 1 :]], *before, near)
+        tap = tap * n + F.col(f"{a}_tap")
+        weight = F.col(f"{a}_w") if weight is None else weight * F.col(f"{a}_w")
+    long = long.select(*keys, tap.alias("tap"), *spots, weight.alias("w")).join(right, spots)
+    # the weighted neighbours in fixed order; one is missing if fewer than all have a value
+    count = n ** len(axes)
+    terms = [F.max(F.when(F.col("tap") == t, F.col("w") * F.col("v"))).alias(f"t{t}") for t in range(count)]
     got = long.groupBy("plane", *keys).agg(*terms)
     total = F.col("t0")
-    for t in range(1, n):
+    for t in range(1, count):
         total = total + F.col(f"t{t}")
     return got.select("plane", *keys, total.alias("value"))
 
@@ -155,27 +202,31 @@ def prefilter(rows: np.ndarray, order: int) -> np.ndarray:
 
 
 def spline_coefficients(raster: Raster, order: int) -> DataFrame:
-    """Coefficients of all pixels: two passes, by rows and by columns, each over Arrow batches of whole lines.
+    """Coefficients of all pixels: a pass along each axis, over Arrow batches of whole lines.
 
     A line with a missing pixel has no coefficients, as the filter runs over all of it.
     """
-    lines = raster.pixels.select("plane", F.col("y").alias("line"), F.col("x").alias("at"), "value")
-    once = _filter_lines(lines, raster.nx, order).select("plane", F.col("at").alias("line"), F.col("line").alias("at"), "value")
-    return _filter_lines(once, raster.ny, order).select("plane", F.col("at").alias("y"), F.col("line").alias("x"), "value")
+    nz = raster.nz
+    out = raster.pixels.select(F.expr(f"plane div {nz}").alias("cube"), F.pmod("plane", F.lit(nz)).alias("z"), "y", "x", "value")
+    for axis, n in (("x", raster.nx), ("y", raster.ny), *((("z", nz),) if raster.wcs.naxis == 3 else ())):
+        out = _filter_lines(out, axis, n, order)
+    return out.select((F.col("cube") * nz + F.col("z")).alias("plane"), "y", "x", "value")
 
 
-def _filter_lines(pixels: DataFrame, n: int, order: int) -> DataFrame:
-    whole = pixels.where("value is not null").groupBy("plane", "line").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("cells"))
-    whole = whole.where(F.size("cells") == n).select("plane", "line", F.col("cells.value").alias("values"))
+def _filter_lines(pixels: DataFrame, axis: str, n: int, order: int) -> DataFrame:
+    line = [k for k in ("cube", "z", "y", "x") if k != axis]
+    whole = pixels.where("value is not null").groupBy(*line).agg(F.sort_array(F.collect_list(F.struct(F.col(axis).alias("at"), "value"))).alias("cells"))
+    whole = whole.where(F.size("cells") == n).select(*line, F.col("cells.value").alias("values"))
 
     def run(records):
         for rec in records:
-            flat = np.asarray(rec.column(2).flatten()).reshape(-1, n)
+            flat = np.asarray(rec.column(3).flatten()).reshape(-1, n)
             out = prefilter(flat, order)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n), pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([rec.column(0), rec.column(1), lists], names=["plane", "line", "values"])
+            yield pa.RecordBatch.from_arrays([*rec.columns[:3], lists], names=[*line, "values"])
 
-    return whole.mapInArrow(run, "plane long, line long, values array<double>").select("plane", "line", F.posexplode("values").alias("at", "value")).withColumn("at", F.col("at").cast("long"))
+    filtered = whole.mapInArrow(run, ", ".join(f"{k} long" for k in line) + ", values array<double>")
+    return filtered.select(*line, F.posexplode("values").alias(axis, "value")).withColumn(axis, F.col(axis).cast("long"))
 
 
 def footprint_of(pixels: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..raster import Grid, Raster
 from ..sources import tiles as tile_tables
 from ..storage import cut, shared_path
 from . import rasters as r
-from .rasters import CUBE_SQL, EV_SQL, EXPOSURES_SQL, HOLES_SQL, ORD_SQL, ORDER_TILES_SQL, ROOT_SQL, TILES_SQL, UNROLLED, linear, nested_sql, order_sql, ring_centres_sql, ring_info_sql
+from .rasters import CUBE_SQL, EV_SQL, EXPOSURES_SQL, HOLES_SQL, ORD_SQL, ORDER_TILES_SQL, PLANES_SQL, ROOT_SQL, TILES_SQL, UNROLLED, linear, nested_sql, order_sql, ring_centres_sql, ring_info_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -270,16 +270,87 @@ def interp_tan(spark, sf_dir):
     return rounded(out.select("y", "x", "value", "footprint"), "value", digits=3)
 
 
-@query()
+def spline_sql(image: str, places: str, order: int) -> str:
+    """B-spline interpolation: coefficients by the closed form of the two-sided filter on the mirrored image, then the taps."""
+    z = interpolate.POLES[order][0]
+    gain = (1 - z) * (1 - 1 / z) * -z / (1 - z * z)
+    reach = math.ceil(math.log(1e-17) / math.log(abs(z)))
+    mirror = lambda i, n: f"CASE WHEN ({i} + 4 * (2 * {n} - 2)) % (2 * {n} - 2) >= {n} THEN 2 * {n} - 2 - ({i} + 4 * (2 * {n} - 2)) % (2 * {n} - 2) ELSE ({i} + 4 * (2 * {n} - 2)) % (2 * {n} - 2) END"
+    near = f"(SELECT unnest(generate_series({-reach}, {reach})) AS d)"
+    kernel = f"{gain!r}::DOUBLE * power({z!r}::DOUBLE, abs(d))"
+    taps = list(range(-1, order))
+    weights = {2: ["0.5::DOUBLE * (0.5::DOUBLE - t) * (0.5::DOUBLE - t)", "0.75::DOUBLE - t * t", "0.5::DOUBLE * (0.5::DOUBLE + t) * (0.5::DOUBLE + t)"], 3: ["(1 - t) * (1 - t) * (1 - t) / 6", "(4 - 6 * t * t + 3 * t * t * t) / 6", "(4 - 6 * (1 - t) * (1 - t) + 3 * (1 - t) * (1 - t) * (1 - t)) / 6", "t * t * t / 6"]}[order]
+    own = lambda t: ", ".join(w.replace("t", t) for w in weights)
+    half = "0.5::DOUBLE" if order == 2 else "0.0::DOUBLE"
+    return f"""WITH img AS ({image}), shp AS (SELECT max(y) + 1 AS ny, max(x) + 1 AS nx FROM img), p AS ({places}),
+    a AS (SELECT q.y AS y, q.x AS x, sum(i.value * q.k) AS value FROM (SELECT y, x, {mirror('(x + d)', 'nx')} AS sx, {kernel} AS k FROM img CROSS JOIN shp CROSS JOIN {near}) q JOIN img i ON i.y = q.y AND i.x = q.sx GROUP BY q.y, q.x),
+    b AS (SELECT q.y AS y, q.x AS x, sum(i.value * q.k) AS value FROM (SELECT y, x, {mirror('(y + d)', 'ny')} AS sy, {kernel} AS k FROM img CROSS JOIN shp CROSS JOIN {near}) q JOIN a i ON i.y = q.sy AND i.x = q.x GROUP BY q.y, q.x),
+    c AS (SELECT y, x, ny, nx, greatest(0.0::DOUBLE, least(nx - 1.0::DOUBLE, xi)) AS xc, greatest(0.0::DOUBLE, least(ny - 1.0::DOUBLE, yi)) AS yc FROM p CROSS JOIN shp WHERE xi >= -0.5 AND xi < nx - 0.5 AND yi >= -0.5 AND yi < ny - 0.5),
+    f AS (SELECT *, floor(xc + {half})::BIGINT AS ux, floor(yc + {half})::BIGINT AS uy, xc - floor(xc + {half}) AS tx, yc - floor(yc + {half}) AS ty FROM c),
+    g AS (SELECT y, x, ny, nx, uy, ty, ux + unnest({taps}) AS sx, unnest([{own('tx')}]) AS wx FROM f),
+    h AS (SELECT y, x, ny, nx, sx, wx, uy + unnest({taps}) AS sy, unnest([{own('ty')}]) AS wy FROM g),
+    v AS (SELECT h.y AS y, h.x AS x, sum(wx * wy * b.value) AS value FROM h JOIN b ON b.y = {mirror('sy', 'ny')} AND b.x = {mirror('sx', 'nx')} GROUP BY h.y, h.x)
+    SELECT p.y AS y, p.x AS x, round(v.value, 5) AS value, CASE WHEN v.value IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS footprint FROM p LEFT JOIN v ON v.y = p.y AND v.x = p.x"""
+
+
+def _spline(spark, sf_dir, order: str) -> DataFrame:
+    raster = r.events(spark, sf_dir, value="sqrt(value)")
+    return rounded(interpolate.interpolate(raster, _fine(raster), order).select("y", "x", "value", "footprint"), "value", digits=5)
+
+
+@query(spline_sql(ROOT_SQL, _FINE_PLACES, 2))
 def interp_biquadratic(spark, sf_dir):
-    raster = r.events(spark, sf_dir)
-    return _image(interpolate.interpolate(raster, _fine(raster), "biquadratic"))
+    return _spline(spark, sf_dir, "biquadratic")
 
 
-@query()
+@query(spline_sql(ROOT_SQL, _FINE_PLACES, 3))
 def interp_bicubic(spark, sf_dir):
-    raster = r.events(spark, sf_dir)
-    return _image(interpolate.interpolate(raster, _fine(raster), "bicubic"))
+    return _spline(spark, sf_dir, "bicubic")
+
+
+def trilinear_sql(image: str, places: str) -> str:
+    """places: z, y, x, zi, yi, xi."""
+    inside = " AND ".join(f"{a}i >= -0.5 AND {a}i < n{a} - 0.5" for a in "xyz")
+    clamped = ", ".join(f"greatest(0.0::DOUBLE, least(n{a} - 1.0::DOUBLE, {a}i)) AS {a}c" for a in "xyz")
+    tap = lambda a: f"least(floor({a}c)::BIGINT + d{a}, n{a} - 1)"
+    weight = " * ".join(f"CASE WHEN d{a} = 1 THEN {a}c - floor({a}c) ELSE 1 - ({a}c - floor({a}c)) END" for a in "zyx")
+    corners = " CROSS JOIN ".join(f"(SELECT unnest([0, 1]) AS d{a})" for a in "zyx")
+    return f"""WITH img AS ({image}), shp AS (SELECT max(z) + 1 AS nz, max(y) + 1 AS ny, max(x) + 1 AS nx FROM img), p AS ({places}),
+    c AS (SELECT z, y, x, nz, ny, nx, {clamped} FROM p CROSS JOIN shp WHERE {inside}),
+    t AS (SELECT z, y, x, {tap('z')} AS sz, {tap('y')} AS sy, {tap('x')} AS sx, {weight} AS w FROM c CROSS JOIN {corners}),
+    v AS (SELECT t.z AS z, t.y AS y, t.x AS x, CASE WHEN count(i.value) = 8 THEN sum(w * i.value) END AS value FROM t LEFT JOIN img i ON i.z = sz AND i.y = sy AND i.x = sx GROUP BY 1, 2, 3)
+    SELECT p.z AS plane, p.y AS y, p.x AS x, round(v.value, 6) AS value, CASE WHEN v.value IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS footprint FROM p LEFT JOIN v ON v.z = p.z AND v.y = p.y AND v.x = p.x"""
+
+
+def _box_sql(nz: str, ny: int, nx: int, zi: str, yi: str, xi: str) -> str:
+    return f"SELECT z, y, x, {zi} AS zi, {yi} AS yi, {xi} AS xi FROM (SELECT unnest(generate_series(0, {nz} - 1)) AS z) CROSS JOIN (SELECT unnest(generate_series(0, {ny - 1})) AS y) CROSS JOIN (SELECT unnest(generate_series(0, {nx - 1})) AS x)"
+
+
+@query(trilinear_sql(PLANES_SQL, _box_sql("(SELECT nz FROM shp)", 12, 11, "0.75::DOUBLE * z + 0.25::DOUBLE", "0.875::DOUBLE * y - 0.625::DOUBLE", "2.0::DOUBLE * x + 0.5::DOUBLE")))
+def interp_cube(spark, sf_dir):
+    """Three linear axes, all of which change."""
+    raster = r.cube(spark, sf_dir, Wcs((1.0, 1.0, 1.0), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0), ("", "", "")))
+    grid = Grid(Wcs((1.0, 1.0, 1.0), (2.0, 0.875, 0.75), (0.5, -0.625, 0.25), ("", "", "")), (raster.nz, 12, 11))
+    return rounded(interpolate.interpolate(raster, grid), "value")
+
+
+@query(trilinear_sql(PLANES_SQL, _box_sql("10", 8, 30, "0.5::DOUBLE * (y + 1) - 0.25::DOUBLE", "0.75::DOUBLE * x - 0.3::DOUBLE", "2.0::DOUBLE * z + 0.6::DOUBLE")))
+def interp_spectral(spark, sf_dir):
+    """A spectral cube whose frequency axis is its first one onto one whose frequency axis is its last one; both kinds of axes change."""
+    whole = r.cube(spark, sf_dir, Wcs((1.0, 5.0, 3.0), (2e6, -0.01, 0.01), (1.4e9, 40.0, 30.0), ("FREQ", "RA---TAN", "DEC--TAN")))
+    # the sky of the target is that of the source, pixel scales 0.75 and 0.5 of it
+    sky = Wcs(((4.0 + 0.3) / 0.75 + 1, (2.0 - 0.25) / 0.5 + 1, 1.0), (-0.0075, 0.005, 4e6), (40.0, 30.0, 1.4e9 + 1.2e6), ("RA---TAN", "DEC--TAN", "FREQ"))
+    return rounded(interpolate.interpolate(whole, Grid(sky, (10, 8, 30))), "value")
+
+
+@query(f"""WITH p AS (SELECT z, y, x, value AS a FROM ({PLANES_SQL}))
+    SELECT a.z AS plane, a.y // 2 AS y, a.x // 2 AS x, round(0.25::DOUBLE * (a.a + b.a + c.a + d.a), 6) AS value FROM p a JOIN p b ON b.z = a.z AND b.y = a.y AND b.x = a.x + 1
+    JOIN p c ON c.z = a.z AND c.y = a.y + 1 AND c.x = a.x JOIN p d ON d.z = a.z AND d.y = a.y + 1 AND d.x = a.x + 1 WHERE a.y % 2 = 0 AND a.x % 2 = 0""")
+def interp_planes(spark, sf_dir):
+    """The third axis is left alone: each plane is halved by itself, whatever the target says of frequencies."""
+    raster = r.cube(spark, sf_dir, Wcs((1.0, 1.0, 1.0), (1.0, 1.0, 2e6), (0.0, 0.0, 1.4e9), ("", "", "FREQ")))
+    grid = Grid(Wcs((1.0, 1.0, 1.0), (2.0, 2.0, 9e9), (0.5, 0.5, 3.0), ("", "", "FREQ")), (raster.nz, r.CUBE_NY // 2, r.CUBE_NX // 2))
+    return rounded(interpolate.interpolate(raster, grid, fixed=1).select("plane", "y", "x", "value").where("value is not null"), "value")
 
 
 # --- adaptive ---------------------------------------------------------------------------------------
@@ -347,12 +418,20 @@ def adaptive_jacobian(spark, sf_dir):
     return adaptive.jacobian(grid, linear(), grid.pixels(spark))
 
 
-@query()
+_PART_NAMES = ("j00", "j01", "j10", "j11")
+
+
+@query(f"""WITH s AS (SELECT *, j00 * j00 + j01 * j01 + j10 * j10 + j11 * j11 AS size FROM (SELECT event_id // 100 AS y, event_id % 100 AS x, value AS j00, 0.125::DOUBLE AS j01, 0.0::DOUBLE AS j10, (user_id % 7)::DOUBLE AS j11 FROM events)),
+    shp AS (SELECT max(y) AS ym, max(x) AS xm FROM s),
+    l AS (SELECT c.y AS cy, c.x AS cx, 10 * list_sort(list(n.size))[3] AS lim FROM s c CROSS JOIN shp JOIN s n ON n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 WHERE c.y BETWEEN 1 AND ym - 1 AND c.x BETWEEN 1 AND xm - 1 GROUP BY 1, 2),
+    w AS (SELECT s.*, l.lim AS lim, size > lim AND NOT (y IN (0, ym) AND x IN (0, xm)) AS spike FROM s CROSS JOIN shp JOIN l ON l.cy = least(greatest(y, 1), ym - 1) AND l.cx = least(greatest(x, 1), xm - 1)),
+    g AS (SELECT w.y AS y, w.x AS x, {", ".join(f"avg(n.{k}) AS {k}" for k in _PART_NAMES)} FROM w JOIN s n ON n.y BETWEEN w.y - 1 AND w.y + 1 AND n.x BETWEEN w.x - 1 AND w.x + 1 AND (n.y <> w.y OR n.x <> w.x) AND n.size < w.lim WHERE w.spike GROUP BY 1, 2)
+    SELECT w.y AS y, w.x AS x, {", ".join(f"round(CASE WHEN w.spike THEN g.{k} ELSE w.{k} END, 6) AS {k}" for k in _PART_NAMES)} FROM w LEFT JOIN g ON g.y = w.y AND g.x = w.x""")
 def adaptive_despike(spark, sf_dir):
-    """An all-sky target whose longitudes wrap inside it."""
-    grid = Grid(Wcs((20.5, 10.5), (9.0, 9.0), (180.0, 0.0), ("RA---CAR", "DEC--CAR")), (20, 40))
-    field = adaptive.jacobian(grid, Wcs((1.0, 45.5), (2.0, 2.0), (0.0, 0.0), ("RA---CAR", "DEC--CAR")), grid.pixels(spark), roundtrip=False)
-    return rounded(adaptive.despike(field, grid.shape).select("y", "x", "j00", "j01", "j10", "j11"), "j00", "j01", "j10", "j11")
+    """A field whose sizes are the events' values: large ones stand out of their surroundings."""
+    raster = r.events(spark, sf_dir)
+    field = r.table(spark, sf_dir, "events").selectExpr("cast(event_id as long) div 100 as y", "cast(event_id as long) % 100 as x", "value as j00", "0.125D as j01", "0.0D as j10", "cast(user_id % 7 as double) as j11")
+    return rounded(adaptive.despike(field, raster.shape).select("y", "x", *_PART_NAMES), *_PART_NAMES)
 
 
 @query()
@@ -365,16 +444,16 @@ def adaptive_tan(spark, sf_dir):
 EXACT_IN = Wcs((1.0, 1.0), (0.0001, 0.0001), (0.0, 0.0), ("RA---CAR", "DEC--CAR"))
 
 
-@query(f"""WITH img AS ({EV_SQL}), p AS (SELECT y, x FROM (SELECT unnest(generate_series(0, (SELECT (max(y) + 1) // 2 FROM img))) AS y) CROSS JOIN (SELECT unnest(generate_series(0, 50)) AS x)),
+@query(f"""WITH img AS ({ROOT_SQL}), p AS (SELECT y, x FROM (SELECT unnest(generate_series(0, (SELECT (max(y) + 1) // 2 FROM img))) AS y) CROSS JOIN (SELECT unnest(generate_series(0, 50)) AS x)),
     o AS (SELECT p.y AS y, p.x AS x, i.value AS v, (least(i.x + 0.5::DOUBLE, 2 * p.x + 1.25::DOUBLE) - greatest(i.x - 0.5::DOUBLE, 2 * p.x - 0.75::DOUBLE)) * (least(i.y + 0.5::DOUBLE, 2 * p.y + 1.25::DOUBLE) - greatest(i.y - 0.5::DOUBLE, 2 * p.y - 0.75::DOUBLE)) AS f
     FROM p JOIN img i ON i.x > 2 * p.x - 1.25 AND i.x < 2 * p.x + 1.75 AND i.y > 2 * p.y - 1.25 AND i.y < 2 * p.y + 1.75)
-    SELECT y, x, round(sum(v * f) / sum(f) + 0.0013::DOUBLE, 2) AS value, round(sum(f) / 4, 4) AS footprint FROM o GROUP BY y, x""")
+    SELECT y, x, round(sum(v * f) / sum(f), 3) AS value, round(sum(f) / 4, 5) AS footprint FROM o GROUP BY y, x""")
 def exact_axis_aligned(spark, sf_dir):
-    raster = r.events(spark, sf_dir, EXACT_IN)
+    raster = r.events(spark, sf_dir, EXACT_IN, "sqrt(value)")
     # world of target pixel p: 0.0001 (2 p + 0.25)
     grid = Grid(Wcs((0.875, 0.875), (0.0002, 0.0002), (0.0, 0.0), ("RA---CAR", "DEC--CAR")), ((raster.ny // 2) + 1, 51))
     out = overlap.resample(raster, grid).where("footprint > 0")
-    return out.select("y", "x", F.round(F.col("value") + 0.0013, 2).alias("value"), F.round("footprint", 4).alias("footprint"))
+    return out.select("y", "x", F.round("value", 3).alias("value"), F.round("footprint", 5).alias("footprint"))
 
 
 @query()

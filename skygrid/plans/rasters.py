@@ -33,6 +33,19 @@ def events(spark, sf_dir, wcs: Wcs | None = None, value: str = "value") -> Raste
     return Raster.of(pixels, wcs or linear(), shape)
 
 
+#: Rows and columns of a plane of the events' cube.
+CUBE_NY, CUBE_NX = 10, 20
+
+
+def cube(spark, sf_dir, wcs: Wcs) -> Raster:
+    """Roots of the events' values as a cube of planes of CUBE_NY x CUBE_NX."""
+    rows = table(spark, sf_dir, "events")
+    last = rows.agg(F.max("event_id")).first()[0]
+    size, e = CUBE_NY * CUBE_NX, "cast(event_id as long)"
+    pixels = rows.selectExpr(f"{e} div {size} as plane", f"{e} % {size} div {CUBE_NX} as y", f"{e} % {CUBE_NX} as x", "sqrt(value) as value")
+    return Raster.of(pixels, wcs, (0 if last is None else int(last) // size + 1, CUBE_NY, CUBE_NX))
+
+
 def holes(spark, sf_dir, wcs: Wcs | None = None) -> Raster:
     """Events, without a value where a user's number is divisible by 50."""
     return events(spark, sf_dir, wcs, "if(user_id % 50 = 0, null, value)")
@@ -118,6 +131,7 @@ def cube_tiles(spark, sf_dir, order: int, forder: int = 1, tile: int = 2, depth:
 
 #: Roots of the values: means of them do not end in a digit on which roundings may differ.
 ROOT_SQL = "SELECT event_id // 100 AS y, event_id % 100 AS x, sqrt(value) AS value FROM events"
+PLANES_SQL = "SELECT event_id // 200 AS z, event_id % 200 // 20 AS y, event_id % 20 AS x, sqrt(value) AS value FROM events"
 EV_SQL = "SELECT event_id // 100 AS y, event_id % 100 AS x, value FROM events"
 HOLES_SQL = "SELECT event_id // 100 AS y, event_id % 100 AS x, CASE WHEN user_id % 50 <> 0 THEN value END AS value FROM events"
 ORD_SQL = "SELECT o_orderkey // 100 AS y, o_orderkey % 100 AS x, o_totalprice AS value, o_custkey FROM orders"

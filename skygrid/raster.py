@@ -49,6 +49,16 @@ class Grid:
             raise ValueError("the shape of the target has to be given")
         return Grid(wcs, tuple(int(n) for n in own))
 
+    @property
+    def nz(self) -> int:
+        """Length of the third axis; 1 for an image."""
+        return int(self.shape[-3]) if self.wcs.naxis == 3 else 1
+
+    def cells(self, spark: SparkSession) -> DataFrame:
+        """All positions (z, y, x) of a cube."""
+        ids = spark.range(self.nz * self.ny * self.nx)
+        return ids.select(F.expr(f"id div {self.ny * self.nx}").alias("z"), F.expr(f"id div {self.nx} % {self.ny}").alias("y"), F.pmod("id", F.lit(self.nx)).alias("x"))
+
     def pixels(self, spark: SparkSession, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
         """All pixel positions (y, x), or those with y0 <= y < y1, x0 <= x < x1."""
         y0, y1, x0, x1 = bounds or (0, self.ny, 0, self.nx)
@@ -60,7 +70,11 @@ class Grid:
 
 @dataclass(frozen=True)
 class Raster:
-    """Pixels (plane, y, x, value), their description and the shape of a plane."""
+    """Pixels (plane, y, x, value), their description and the shape of a plane, or of a cube.
+
+    With a description of three axes, a plane is a place on the third one: plane = z, and z + nz k in the k-th of several
+    cubes that share the description.
+    """
 
     pixels: DataFrame
     wcs: Wcs
@@ -78,6 +92,11 @@ class Raster:
     def nx(self) -> int:
         return int(self.shape[-1])
 
+    @property
+    def nz(self) -> int:
+        """Length of the third axis; 1 for an image."""
+        return int(self.shape[-3]) if self.wcs.naxis == 3 else 1
+
     @property
     def grid(self) -> Grid:
         return Grid(self.wcs, self.shape)
