@@ -10,9 +10,10 @@ prefix of ``width`` bytes hold the same string.
 Equal strings pick the same anchor byte, so reads are aligned at their anchors and only suffixes of
 one column have to be compared: the transform is kept by column (positional) instead of being merged
 over all columns.  A merged transform would rewrite all inserted symbols in each round; this form costs
-a fixed amount per symbol.  Rounds need the column before and nothing else; the columns are streamed
-through a spooled external file, written and read sequentially, so memory holds one column of the reads
-and the matches only.
+a fixed amount per symbol.  Rounds need the column before and nothing else; the reads by column and the
+transform's parts are sequential files, kept in memory up to SPOOL bytes each and beyond that in the task's own
+scratch folder, from which nothing is read by another task.  A bucket's reads are in memory once, while the
+file is written; after that memory holds one column, its order and common prefixes, and the matches.
 """
 
 from __future__ import annotations
@@ -53,10 +54,14 @@ def anchored_runs(grams: np.ndarray, w: int, valid: np.ndarray, fresh: np.ndarra
 
 
 class Columns:
-    """The reads of one column after another, right to left, through a sequential external file."""
+    """The reads of one column after another, right to left, through a sequential external file.
+
+    Once it is made, the reads' bytes are in the file alone and the caller may let go of them.
+    """
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, left: np.ndarray, right: np.ndarray):
-        self.low, self.high = int(left.min()), int(right.max())
+        self.left, self.right = left, right
+        self.low, self.high = (int(left.min()), int(right.max())) if len(left) else (0, 0)
         self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL)  # noqa: SIM115
         self.sizes = []
         for col in range(self.high - 1, self.low - 1, -1):
@@ -64,40 +69,67 @@ class Columns:
             self.sizes.append(len(active))
             self.file.write(active.astype(np.int32).tobytes())
             self.file.write(buf[off[active] + (col - left[active])].tobytes())
-        self.file.seek(0)
 
     def __iter__(self):
+        self.file.seek(0)
         for col, n in zip(range(self.high - 1, self.low - 1, -1), self.sizes):
             reads = np.frombuffer(self.file.read(4 * n), np.int32)
             yield col, reads, np.frombuffer(self.file.read(n), np.uint8)
 
 
-def equal_windows(buf: np.ndarray, off: np.ndarray, left: np.ndarray, right: np.ndarray, width: int):
+class Transform:
+    """The collection's Burrows-Wheeler transform, column by column, with the common prefixes, built by insertion.
+
+    A round inserts one symbol of every read.  The symbols in the order of the suffixes that they precede are the
+    transform's part of this column; they go to a second sequential file, from which ``parts`` reads them back.
+    """
+
+    def __init__(self, columns: Columns):
+        self.columns = columns
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL)  # noqa: SIM115
+        self.sizes: list[tuple[int, int]] = []
+
+    def rounds(self):
+        """For every column: (column, reads in suffix order, common prefix of each suffix with the one before it)."""
+        right = self.columns.right
+        order, lcp = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        symbol = np.zeros(len(right), np.uint8)
+        here = np.zeros(len(right), bool)
+        for col, active, symbols in self.columns:
+            here[:] = False
+            here[active] = True
+            symbol[active] = symbols
+            new = active[right[active] == col + 1]
+            if len(new):
+                order = np.concatenate([new, order])
+                lcp = np.concatenate([np.zeros(len(new), np.int32), lcp])
+            stay = np.flatnonzero(here[order])
+            s = symbol[order[stay]]
+            self.sizes.append((col, len(s)))
+            self.file.write(s.tobytes())
+            by = np.argsort(s, kind="stable")
+            pos, s = stay[by], s[by]
+            grown = np.zeros(len(pos), np.int32)
+            if len(pos) > 1:
+                same = s[1:] == s[:-1]
+                ends = np.empty(2 * (len(pos) - 1), np.int64)
+                ends[0::2], ends[1::2] = pos[:-1] + 1, pos[1:] + 1
+                least = np.minimum.reduceat(np.append(lcp, 0), ends)[0::2]
+                grown[1:][same] = least[same] + 1
+            order, lcp = order[pos], grown
+            yield col, order, lcp
+
+    def parts(self):
+        """(column, its part of the transform) of all rounds so far."""
+        self.file.seek(0)
+        for col, n in self.sizes:
+            yield col, self.file.read(n)
+
+
+def equal_windows(columns: Columns, width: int):
     """For every column: (column, reads in suffix order, mask "equals the string before it over width bytes")."""
-    order, lcp = np.zeros(0, np.int32), np.zeros(0, np.int32)
-    symbol = np.zeros(len(left), np.uint8)
-    here = np.zeros(len(left), bool)
-    for col, active, symbols in Columns(buf, off, left, right):
-        here[:] = False
-        here[active] = True
-        symbol[active] = symbols
-        new = active[right[active] == col + 1]
-        if len(new):
-            order = np.concatenate([new, order])
-            lcp = np.concatenate([np.zeros(len(new), np.int32), lcp])
-        stay = np.flatnonzero(here[order])
-        s = symbol[order[stay]]
-        by = np.argsort(s, kind="stable")
-        pos, s = stay[by], s[by]
-        grown = np.zeros(len(pos), np.int32)
-        if len(pos) > 1:
-            same = s[1:] == s[:-1]
-            ends = np.empty(2 * (len(pos) - 1), np.int64)
-            ends[0::2], ends[1::2] = pos[:-1] + 1, pos[1:] + 1
-            least = np.minimum.reduceat(np.append(lcp, 0), ends)[0::2]
-            grown[1:][same] = least[same] + 1
-        order, lcp = order[pos], grown
-        full = np.flatnonzero(right[order] - col >= width)
+    for col, order, lcp in Transform(columns).rounds():
+        full = np.flatnonzero(columns.right[order] - col >= width)
         if len(full) > 1:
             # between two long suffixes lie no shorter ones with a common prefix of the width
             equal = np.zeros(len(full), bool)
@@ -162,8 +194,10 @@ class ByteWindows(Windows):
         off = np.cumsum(size) - size
         left, right = -r.anchor.astype(np.int64), size - r.anchor
         prio, ids, rows = rank_pairs(r.order, r.batch, r.doc, r.start + r.anchor)
+        columns = Columns(buf, off, left, right)
+        r.texts, buf = [], None  # from here on the bytes are in the columns' file
         found, at = [], []
-        for col, order, equal in equal_windows(buf, off, left, right, self.width):
+        for col, order, equal in equal_windows(columns, self.width):
             bad = repeated(order, equal, prio, ids, rows)
             found.append(bad)
             at.append(np.full(len(bad), col, np.int64))

@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from skygrid.llm.column_bwt import ByteWindows, remove_repeated_bytes
+from skygrid.llm.column_bwt import ByteWindows, Columns, Transform, remove_repeated_bytes
 from skygrid.llm.exchange import find_repeats
 
 
@@ -96,3 +97,27 @@ def test_many_packs_of_one_task(spark):
     for pack, bucket in ((300, 2000), (1500, 1 << 20)):
         got = find_repeats(df, ByteWindows(40), pack_bytes=pack, bucket_bytes=bucket)
         assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 40)
+
+
+def test_transform_against_sorted_suffixes():
+    """Each column's order, common prefixes and part of the transform, against plain sorting; spilled to the file as well."""
+    rng = np.random.default_rng(5)
+    reads = [bytes(rng.integers(97, 99, rng.integers(1, 30)).astype(np.uint8)) for _ in range(200)]
+    anchor = np.array([int(rng.integers(0, len(t))) for t in reads])
+    size = np.array([len(t) for t in reads])
+    columns = Columns(np.frombuffer(b"".join(reads), np.uint8), np.cumsum(size) - size, -anchor, size - anchor)
+    t = Transform(columns)
+    before = {}
+    for col, order, lcp in t.rounds():
+        suffix = lambda i: reads[i][col + anchor[i] :]  # noqa: B023, E731
+        have = [i for i in range(200) if -anchor[i] <= col < size[i] - anchor[i]]
+        assert sorted(order.tolist()) == have and [suffix(i) for i in order] == sorted(map(suffix, have))
+        for k in range(1, len(order)):
+            a, b = suffix(order[k - 1]), suffix(order[k])
+            assert lcp[k] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        before[col] = order.tolist()
+    for col, part in t.parts():
+        # symbols before the suffixes of the next column, in their order, and last symbols of reads that end here
+        after = [i for i in before.get(col + 1, []) if -anchor[i] <= col]
+        ending = [i for i in range(200) if size[i] - anchor[i] == col + 1]
+        assert part == bytes(reads[i][col + anchor[i]] for i in ending + after)
