@@ -42,7 +42,7 @@ def _ecliptic() -> np.ndarray:
 
 
 FROM_ICRS = {"icrs": np.eye(3), "fk5": np.eye(3), "galactic": _galactic(), "ecliptic": _ecliptic()}
-FRAME_CODES = {"g": "galactic", "c": "icrs", "e": "ecliptic"}
+FRAME_CODES = {"g": "galactic", "c": "icrs", "e": "ecliptic", "equatorial": "icrs"}
 
 
 def frame_name(name: str) -> str:

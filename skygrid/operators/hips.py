@@ -8,14 +8,18 @@ arithmetic, at borders and in the polar caps too.  Three-dimensional tiles add (
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
+from ..functions import spectral
 from ..functions.backend import bind
-from ..functions.wcs import Wcs, change_frame, separation
-from ..raster import Raster
+from ..functions.wcs import Wcs, change_frame, frame_name, from_sky, separation
+from ..raster import Grid, Raster
+from .bounds import bounds_of
 from .interpolate import order_number, sample, spline_coefficients
 from .spherical import positions_in
 
@@ -63,8 +67,6 @@ def level_for(raster: Raster, tile: int) -> int:
 
 def image_cone(raster: Raster, frame: str) -> tuple[float, float, float]:
     """Centre of an image and a radius that reaches its corners with room (degrees)."""
-    import numpy as np
-
     ny, nx = raster.ny, raster.nx
     xs = np.array([(nx - 1) / 2, -0.5, nx - 0.5, nx - 0.5, -0.5])
     ys = np.array([(ny - 1) / 2, -0.5, -0.5, ny - 0.5, ny - 0.5])
@@ -144,11 +146,17 @@ def pyramid_3d(tiles: DataFrame, tile: int, depth: int, level: int, spectral_lev
     return out
 
 
-def allsky(tiles: DataFrame, order: int, tile: int) -> DataFrame:
-    """The preview of an order: y, x, value of tiles shrunk by block means and laid side by side in index order."""
+def allsky_factor(tile: int) -> int:
+    """The largest power of two by which a tile shrinks without falling below the preview's tile."""
     factor = 1
     while tile // (factor * 2) >= ALLSKY_TILE and tile % (factor * 2) == 0:
         factor *= 2
+    return factor
+
+
+def allsky(tiles: DataFrame, order: int, tile: int) -> DataFrame:
+    """The preview of an order: y, x, value of tiles shrunk by block means and laid side by side in index order."""
+    factor = allsky_factor(tile)
     small, width = tile // factor, math.isqrt(12 * 4**order)
     y = F.expr(f"(npix div {width}) * {small} + y div {factor}")
     x = F.expr(f"(npix % {width}) * {small} + x div {factor}")
@@ -223,8 +231,9 @@ def tile_path_3d(order: Column, npix: Column, forder: Column, fpix: Column, exte
 
 
 def parse_path(path: Column) -> dict[str, Column]:
-    """norder and npix of a tile's path."""
-    return {"norder": F.regexp_extract(path, r"Norder(\d+)", 1).cast("int"), "npix": F.regexp_extract(path, r"Npix(\d+)", 1).cast("long")}
+    """norder and npix of a tile's path, forder and fpix (null in two dimensions)."""
+    part = lambda pattern, kind: F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).cast(kind)
+    return {"norder": part(r"Norder(\d+)", "int"), "npix": part(r"Npix(\d+)", "long"), "forder": part(r"Norder\d+_(\d+)", "int"), "fpix": part(r"Npix\d+_(\d+)", "long")}
 
 
 def properties_lines(values: DataFrame) -> DataFrame:
@@ -258,15 +267,133 @@ def properties_of(tiles: DataFrame, frame: str, tile: int, level: int, title: st
     return out | (own or {})
 
 
-def tile_wcs(order: int, npix: int, tile: int, frame: str = "icrs") -> Wcs:
-    """The HPX projection of one tile, rotated by 45 degrees so that the tile is upright."""
-    spot = _hpx_corner(order, npix)
+def _hpx_wcs(cx: float, cy: float, order: int, tile: int, size: int, frame: str) -> Wcs:
+    """The HPX projection turned by 45 degrees, of ``size`` pixels around a plane position; tiles are upright in it."""
     res = 45.0 / tile / 2**order
-    names = {"galactic": ("GLON-HPX", "GLAT-HPX"), "ecliptic": ("ELON-HPX", "ELAT-HPX")}.get(frame, ("RA---HPX", "DEC--HPX"))
-    # plane position of the tile's centre, undone by the matrix [[-r, -r], [r, -r]]
-    cx, cy = spot
+    names = {"galactic": ("GLON-HPX", "GLAT-HPX"), "ecliptic": ("ELON-HPX", "ELAT-HPX")}.get(frame_name(frame), ("RA---HPX", "DEC--HPX"))
+    # plane position of the centre, undone by the matrix [[-r, -r], [r, -r]]
     px, py = (-cx + cy) / (2 * res), (-cx - cy) / (2 * res)
-    return Wcs((-px + tile / 2 + 0.5, -py + tile / 2 + 0.5), (1.0, 1.0), (0.0, 0.0), names, ((-res, -res), (res, -res)), frame=frame)
+    return Wcs((-px + size / 2 + 0.5, -py + size / 2 + 0.5), (1.0, 1.0), (0.0, 0.0), names, ((-res, -res), (res, -res)), frame=frame_name(frame), shape=(size, size))
+
+
+def tile_wcs(order: int, npix: int, tile: int, frame: str = "icrs", second: bool = False) -> Wcs:
+    """The HPX projection of one tile; ``second``: that of its other place, for tiles at the border of the plane."""
+    cx, cy = _hpx_corner(order, npix)
+    if second:
+        if not is_border(order, npix):
+            raise ValueError("the tile has one place only")
+        cx += 360 if cx < 0 else -360
+    return _hpx_wcs(cx, cy, order, tile, tile, frame)
+
+
+def is_border(order: int, npix: int) -> bool:
+    """Does a tile meet the meridian at which the plane is cut, so that it has two places?"""
+    cx, cy = _hpx_corner(order, npix)
+    return abs(cy) <= 45 and abs(abs(cx) - 180) < 45.0 / 2**order
+
+
+def map_grid(order: int, tile: int, frame: str = "icrs") -> Grid:
+    """The whole map of an order as one image: five by five base cells, of which twelve (one twice) are filled."""
+    size = 5 * tile * 2**order
+    return Grid(_hpx_wcs(0.0, 0.0, order, tile, size, frame), (size, size))
+
+
+def cube_wcs(wcs: Wcs, forder: int, depth: int, fpix: int = 0) -> Wcs:
+    """A tile's or map's description with the frequency axis, of which ``fpix`` is the first cell."""
+    axis = spectral.header_axis(forder, fpix, depth)
+    pc = np.eye(3)
+    pc[:2, :2] = wcs.matrix
+    return replace(
+        wcs, crpix=(*wcs.crpix, float(axis["CRPIX3"])), cdelt=(*wcs.cdelt, axis["CDELT3"]), crval=(*wcs.crval, axis["CRVAL3"]), ctype=(*wcs.ctype, axis["CTYPE3"]),
+        cunit=("deg", "deg", axis["CUNIT3"]), pc=tuple(map(tuple, pc)), shape=None if wcs.shape is None else (depth, *wcs.shape),
+    )
+
+
+def _places() -> list[tuple[int, int, int]]:
+    """(base cell, row, column) of the base cells in the map; the one at the cut has two places."""
+    out = []
+    for face in range(12):
+        cx, cy = _hpx_corner(0, face)
+        out += [(face, round((-x - cy) / 90 + 2), round((-x + cy) / 90 + 2)) for x in ((cx,) if abs(cx) < 180 else (cx, -cx))]
+    return out
+
+
+def on_map(tiles: DataFrame, order: int, tile: int) -> DataFrame:
+    """Tile pixels of an order at their (first) place in the map: plane, y, x, value."""
+    n = 1 << order
+    own = tiles.where(F.col("norder") == order)
+    first = dict((face, (row, col)) for face, row, col in reversed(_places()))
+    pick = lambda k: F.get(F.array(*[F.lit(first[f][k]).cast("long") for f in range(12)]), F.expr(f"cast(npix div {n * n} as int)"))
+    inner = F.pmod("npix", F.lit(n * n))
+    ty, tx = n - 1 - hp.gather_bits(inner), hp.gather_bits(F.shiftright(inner, 1))
+    plane = F.col("plane") if "plane" in tiles.columns else F.lit(0).cast("long")
+    return own.select(plane.alias("plane"), ((pick(0) * n + ty) * tile + F.col("y")).alias("y"), ((pick(1) * n + tx) * tile + F.col("x")).alias("x"), "value")
+
+
+def from_map(pixels: DataFrame, order: int, tile: int) -> DataFrame:
+    """Pixels of the map (y, x, ...) as tile pixels: norder, npix, y, x and the other columns; those outside all base cells go."""
+    n = 1 << order
+    size = n * tile
+    table = [-1] * 25
+    for face, row, col in _places():
+        table[row * 5 + col] = face
+    face = F.get(F.array(*map(F.lit, table)), F.expr(f"cast(y div {size} * 5 + x div {size} as int)")).cast("long")
+    ty, tx = F.expr(f"y % {size} div {tile}"), F.expr(f"x % {size} div {tile}")
+    rest = [k for k in pixels.columns if k not in ("y", "x")]
+    rows = bind(pixels, {"npix": face * (n * n) + hp.interleave(n - 1 - ty, tx), "face": face}).where("face >= 0")
+    return rows.select(F.lit(order).alias("norder"), "npix", *rest, F.expr(f"y % {tile}").alias("y"), F.expr(f"x % {tile}").alias("x"))
+
+
+def to_tiles_by(function, raster: Raster, frame: str, tile: int = 512, level: int | None = None, **options) -> DataFrame:
+    """Tiles made by any resampling function (raster, grid, bounds=..., ...) that gives plane, y, x, value, footprint.
+
+    The function is called once, on the part of the whole map that the image may reach, not tile by tile.  At the cut a
+    tile has two places, of which each gets a part; they meet as the footprint-weighted mean.
+    """
+    depth = level_for(raster, tile) if level is None else level
+    grid = map_grid(depth, tile, frame)
+    part = bounds_of(raster.shape[-2:], raster.wcs, grid)
+    if part is None:
+        part = (0, 0, 0, 0)
+    made = function(raster, grid, bounds=part, **options).where("value is not null and footprint > 0")
+    return merge_borders(from_map(made.select("plane", "y", "x", "value", "footprint"), depth, tile))
+
+
+def to_tiles_3d(raster: Raster, frame: str, tile: int = 512, depth: int = 16, level: int | None = None, level_depth: int = 0, order: str | int = "bilinear") -> DataFrame:
+    """Three-dimensional tiles of a spectral cube: norder, npix, forder, fpix, z, y, x, value.
+
+    The frequency axis of a pixel follows the cells' logarithmic steps; cells that the cube's own range misses are not made.
+    """
+    wcs, axis = raster.wcs, raster.wcs.spectral
+    if wcs.naxis != 3 or not wcs.has_celestial or axis is None or wcs.ctype[axis][:4] != "FREQ":
+        raise ValueError("three-dimensional tiles are made of cubes with celestial axes and a frequency")
+    spark, k = raster.pixels.sparkSession, order_number(order)
+    sizes = list(reversed(raster.shape))
+    middle = [(n - 1) / 2 for n in sizes]
+    ends = [[v if a != axis else e for a, v in enumerate(middle)] for e in (-0.5, sizes[axis] - 0.5)]
+    hz = sorted(float(wcs.pixel_to_world(*map(np.float64, e))[axis]) for e in ends)
+    cells = [int(2.0 ** (level_depth + 1) * (math.log10(min(max(f, spectral.FREQ_MIN), spectral.FREQ_MAX * 0.999)) + 18) // spectral.DECADES) for f in hz]
+    i, j = wcs.celestial
+    corners = np.array([[s * n - 0.5 for s, n in zip(c, sizes)] for c in np.ndindex(2, 2, 2)] + [middle]).T
+    world = wcs.pixel_to_world(*corners)
+    lon, lat = change_frame(world[i], world[j], wcs.sky, frame)
+    far = separation(lon[:-1], lat[:-1], lon[-1], lat[-1])
+    radius = 1.5 * float(far.max()) if np.isfinite(far).all() else 180.0
+    flat = wcs.without_axis(axis) if axis == 2 else None
+    if level is None:
+        level = level_for(Raster(raster.pixels, flat or wcs, raster.shape[-2:] if flat else raster.shape), tile)
+    sky = tile_sky(cone(spark, float(lon[-1]), float(lat[-1]), radius if radius <= 120 else 180.0, level), level, tile)
+    rows = sky.select("*", F.explode(F.sequence(F.lit(cells[0] * depth).cast("long"), F.lit((cells[1] + 1) * depth - 1).cast("long"))).alias("at"))
+    rows = rows.select("npix", F.expr(f"at div {depth}").alias("fpix"), F.pmod("at", F.lit(depth)).alias("z"), "y", "x", "lon", "lat", spectral.index_to_coord(level_depth, (F.col("at") + 0.5) / depth).alias(f"s_w{axis}"))
+    placed = from_sky(rows.withColumns({f"s_w{i}": F.col("lon"), f"s_w{j}": F.col("lat")}), wcs, ["s"], frame_name(frame))
+    placed = placed.withColumnsRenamed({f"s_w{a}": f"{c}i" for a, c in enumerate("xyz")})
+    bad = F.lit(False)
+    for c in "xyz":
+        bad = bad | F.col(f"{c}i").isNull() | F.isnan(f"{c}i")
+    data = raster.pixels if k < 2 else spline_coefficients(raster, k)
+    cube = data.select(F.lit(0).cast("long").alias("plane"), F.col("plane").alias("z"), "y", "x", "value")
+    hits = sample(placed.where(~bad), cube, raster.shape, k, keys=("npix", "fpix", "z", "y", "x"), axes="xyz").where("value is not null")
+    return hits.select(F.lit(level).alias("norder"), "npix", F.lit(level_depth).alias("forder"), "fpix", "z", "y", "x", "value")
 
 
 def _hpx_corner(order: int, npix: int) -> tuple[float, float]:

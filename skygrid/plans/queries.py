@@ -14,6 +14,7 @@ from ..functions.wcs import Wcs, change_frame, move
 from ..operators import adaptive, background, bounds, coverage, hips, interpolate, mosaic, overlap, planes as raster_ops, spherical, target
 from ..raster import Grid, Raster
 from ..sources import tiles as tile_tables
+from ..sources import tree
 from ..storage import cut, shared_path
 from . import rasters as r
 from .rasters import CUBE_SQL, EV_SQL, EXPOSURES_SQL, HOLES_SQL, ORD_SQL, ORDER_TILES_SQL, PLANES_SQL, ROOT_SQL, TILES_SQL, UNROLLED, linear, nested_sql, order_sql, ring_centres_sql, ring_info_sql
@@ -795,6 +796,34 @@ def hips_border_tile(spark, sf_dir):
     return rounded(hips.merge_borders(a.unionByName(b)), "value")
 
 
+@query(f"SELECT norder, npix, y, x, value::FLOAT::DOUBLE AS value FROM ({TILES_SQL}) WHERE value IS NOT NULL")
+def hips_tree(spark, sf_dir):
+    """Tiles written as a tree of FITS files of single precision, with properties, coverage and previews, and read from its folders."""
+    level, folder = r.cell_order(spark, sf_dir, 16), shared_path(spark, "tree")
+    tree.write_tree(r.tiles(spark, sf_dir, level), folder, 4, level)
+    return tree.read_tree(spark, folder).select("norder", "npix", "y", "x", "value")
+
+
+@query(f"SELECT norder, npix, forder, fpix, z, y, x, value::FLOAT::DOUBLE AS value FROM ({CUBE_SQL}) WHERE value IS NOT NULL")
+def hips3d_tree(spark, sf_dir):
+    """Three-dimensional tiles, written as trimmed files and read again."""
+    level, folder = r.cell_order(spark, sf_dir, 32), shared_path(spark, "tree")
+    tree.write_tree(r.cube_tiles(spark, sf_dir, level), folder, 2, level, depth=2, level_depth=1)
+    return tree.read_tree(spark, folder).select("norder", "npix", "forder", "fpix", "z", "y", "x", "value")
+
+
+@query(f"""SELECT -1::BIGINT AS fpix, min(npix) AS start, max(npix) + 1 AS stop FROM (SELECT npix, npix - row_number() OVER (ORDER BY npix) AS g FROM (SELECT DISTINCT npix FROM ({TILES_SQL}) WHERE value >= 12)) GROUP BY g
+    UNION ALL SELECT fpix, min(npix) AS start, max(npix) + 1 AS stop FROM (SELECT fpix, npix, npix - row_number() OVER (PARTITION BY fpix ORDER BY npix) AS g FROM (SELECT DISTINCT fpix, npix FROM ({CUBE_SQL}) WHERE value >= 10)) GROUP BY fpix, g""")
+def moc_files(spark, sf_dir):
+    """Coverage files of images and of cubes, written and read again."""
+    level, deep = r.cell_order(spark, sf_dir, 16), r.cell_order(spark, sf_dir, 32)
+    a, b = shared_path(spark, "moc"), shared_path(spark, "moc")
+    tree.write_coverage(r.tiles(spark, sf_dir, level).where("value >= 12"), a, level)
+    tree.write_coverage(r.cube_tiles(spark, sf_dir, deep).where("value >= 10"), b, deep, level_depth=1)
+    found = tree.read_coverage(spark, a).unionByName(tree.read_coverage(spark, b))
+    return found.withColumn("fpix", F.coalesce("fpix", F.lit(-1)))
+
+
 @query()
 def hips_tiles(spark, sf_dir):
     """The events' image on the sky as tiles of 32 x 32 pixels, down to order 0."""

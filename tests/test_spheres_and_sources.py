@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skygrid.functions.wcs import Wcs
-from skygrid.operators import coverage, hips, spherical
+from skygrid.operators import coverage, hips, interpolate, spherical
 from skygrid.raster import Grid, Raster, to_array
 from skygrid.sources import fits, png, tiles, tree
 from skygrid.streaming import coadd as stream
@@ -112,9 +112,14 @@ def test_trees_of_tiles(spark, tmp_path):
     (tmp_path / "tree").mkdir()
     assert tree.write_tree(made, folder, 4, 1, "galactic", title="a = b", properties={"note": "x"}).count() == 3
     back = tree.read_tree(spark, folder)
-    assert back.where("value is null").count() == 3
+    assert back.count() == 30 and tree.read_tree(spark, folder, 0).count() == 15
     assert back.where("norder = 1 and npix = 40 and y = 2 and x = 3").first().value == 11.0
-    found = tree.read_properties(folder)
+    with pytest.raises(ValueError):
+        tree.read_tree(spark, folder, 2)
+    found = tree.read_properties(spark, folder)
+    assert {(r.start, r.stop) for r in tree.read_coverage(spark, folder).collect()} == {(3, 4), (40, 41)}
+    assert (tmp_path / "tree" / "Norder0" / "Allsky.fits").exists() and (tmp_path / "tree" / "Norder1" / "Allsky.fits").exists()
+    assert tree.read_map(spark, folder).pixels.where("value is not null").count() == 30
     assert found["hips_frame"] == "galactic" and found["obs_title"] == "a = b" and found["hips_order"] == "1"
     assert (tmp_path / "tree" / "Norder1" / "Dir0" / "Npix40.fits").exists() and (tmp_path / "tree" / "index.html").exists()
     with pytest.raises(FileExistsError):
@@ -125,3 +130,54 @@ def test_trees_of_tiles(spark, tmp_path):
     assert tree.write_tiles(colours, f"file://{tmp_path}/png", 4, "png").count() == 1
     pixels = png.read(spark, str(tmp_path / "png"))
     assert pixels.count() == 4 * 16 and pixels.where("plane = 3 and value = 0").count() == 1
+
+
+def test_trees_of_cubes(spark, tmp_path):
+    rows = [(2, p, 1, f, z, y, x, float(z * 16 + y * 4 + x)) for p, f in ((7, 1), (100, 1), (100, 2)) for z in range(3) for y in range(1, 4) for x in range(2)]
+    made = spark.createDataFrame(rows, "norder int, npix long, forder int, fpix long, z long, y long, x long, value double")
+    folder = f"file://{tmp_path}/cubes"
+    (tmp_path / "cubes").mkdir()
+    assert tree.write_tree(made, folder, 4, 2, depth=8, level_depth=1).count() == 3
+    image, head = fits.image_from_bytes((tmp_path / "cubes" / "Norder2_1" / "Dir0_0" / "Npix100_2.fits").read_bytes())
+    assert image.shape == (3, 3, 2) and [head[k] for k in ("ONAXIS1", "ONAXIS3", "TRIM2", "FPIX")] == [4, 8, 1, 2] and head["CRPIX3"] == 1 - 2 * 8
+    back = tree.read_tree(spark, folder)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert {r.fpix for r in tree.read_tree(spark, folder, hertz=(1e11, 1e20)).collect()} == {2}
+    assert sorted(map(tuple, tree.read_coverage(spark, folder).collect())) == [(1, 7, 8), (1, 100, 101), (2, 100, 101)]
+    with pytest.raises(ValueError):
+        tree.read_map(spark, folder)
+
+
+def test_map_and_tiles_agree(spark):
+    """A tile's own header, its place in the map and its cell are three ways to the same sky."""
+    for order, tile in ((0, 4), (2, 4)):
+        cells = spark.range(12 * 4**order).withColumnRenamed("id", "npix")
+        sky = hips.tile_sky(cells, order, tile).withColumn("norder", F.lit(order)).withColumn("value", F.col("npix").cast("double"))
+        placed = sky.select("norder", "npix", "y", "x", (F.col("npix") * 1000 + F.col("y") * 10 + F.col("x")).alias("value"))
+        on_map = hips.on_map(placed, order, tile)
+        back = hips.from_map(on_map.drop("plane"), order, tile)
+        assert all(r.value == r.npix * 1000 + r.y * 10 + r.x for r in back.collect()) and back.count() == sky.count()
+        grid, at = hips.map_grid(order, tile), {r.value: (r.x, r.y) for r in on_map.collect()}
+        for r in sky.sample(0.5, 3).collect():
+            x, y = at[r.npix * 1000 + r.y * 10 + r.x]
+            for wcs, px, py in ((grid.wcs, x, y), (hips.tile_wcs(order, r.npix, tile), r.x, r.y), *([(hips.tile_wcs(order, r.npix, tile, second=True), r.x, r.y)] if hips.is_border(order, r.npix) else [])):
+                lon, lat = (float(v) for v in wcs.pixel_to_world(np.float64(px), np.float64(py)))
+                assert abs(lat - r.lat) < 1e-9 and abs((lon - r.lon + 180) % 360 - 180) < 1e-9, (order, r)
+
+
+def test_tiles_by_any_function(spark):
+    wcs = Wcs((10.5, 10.5), (-0.5, 0.5), (180.0, 3.0), ("RA---TAN", "DEC--TAN"))  # across the cut of the plane
+    raster = Raster.from_array(spark, np.arange(400.0).reshape(20, 20), wcs)
+    own = {(r.npix, r.y, r.x): r.value for r in hips.to_tiles(raster, "icrs", 8, 3, "nearest").collect()}
+    by = {(r.npix, r.y, r.x): r.value for r in hips.to_tiles_by(interpolate.interpolate, raster, "icrs", 8, 3, order="nearest").collect()}
+    assert len(own) > 50 and by == own
+
+
+def test_tiles_of_a_cube(spark):
+    wcs = Wcs((4.5, 4.5, 1.0), (-2.0, 2.0, 2e9), (30.0, 10.0, 1e9), ("RA---TAN", "DEC--TAN", "FREQ"))
+    raster = Raster(spark.range(8 * 8 * 5).select(F.expr("id div 64").alias("plane"), F.expr("id div 8 % 8").alias("y"), (F.col("id") % 8).alias("x"), F.expr("cast(id div 64 as double)").alias("value")), wcs, (5, 8, 8))
+    made = hips.to_tiles_3d(raster, "icrs", 4, 8, 2, 6, "nearest")
+    rows = made.withColumn("hz", hips.spectral.index_to_coord(6, F.col("fpix") + (F.col("z") + 0.5) / 8)).collect()
+    assert {r.value for r in rows} >= {2.0, 3.0, 4.0} and all(abs((r.hz - 1e9) / 2e9 - r.value) <= 0.5 + 1e-9 for r in rows)
+    up = hips.pyramid_3d(made, 4, 8, 2, 6)
+    assert {r.norder for r in up.select("norder").distinct().collect()} == {0, 1, 2}
