@@ -72,8 +72,8 @@ class Normaliser:
     def __call__(self, text: bytes) -> tuple[bytes, np.ndarray]:
         if not self.map.units and not self.squeeze and self.symbols is None:
             return self._plain(text)
-        out, align = self._mapped(text)
-        return self._spaces(out, align, len(text))
+        out, align, lead = self._mapped(text)
+        return self._spaces(out, align, len(text), lead if self.squeeze else 0)
 
     def _plain(self, text: bytes) -> tuple[bytes, np.ndarray]:
         raw = np.frombuffer(text, np.uint8)
@@ -86,8 +86,9 @@ class Normaliser:
             align = np.concatenate([np.zeros(len(space), np.int64), align])
         return (space if self.dummy_prefix else b"") + text.replace(b" ", space), np.append(align, len(raw))
 
-    def _mapped(self, text: bytes) -> tuple[bytearray, list[int]]:
-        out, align, at = bytearray(), [], 0
+    def _mapped(self, text: bytes) -> tuple[bytearray, list[int], int]:
+        """Mapped bytes, the source byte of each, and the length of the source's leading blanks."""
+        out, align, at, blanks, only = bytearray(), [], 0, 0, True
         while at < len(text):
             own = self.symbols.match(text, at) if self.symbols else None
             if own:
@@ -101,9 +102,11 @@ class Normaliser:
             out += new
             align += [at] * len(new)
             at += size
-        return out, align
+            only = only and new == b" "
+            blanks = at if only else blanks
+        return out, align, blanks
 
-    def _spaces(self, text: bytearray, align: list[int], size: int) -> tuple[bytes, np.ndarray]:
+    def _spaces(self, text: bytearray, align: list[int], size: int, lead: int) -> tuple[bytes, np.ndarray]:
         a, z = 0, len(text)
         if self.squeeze:
             while a < z and text[a] == 0x20:
@@ -114,7 +117,7 @@ class Normaliser:
         out, back = bytearray(), []
         if z > a and self.dummy_prefix:
             out += space
-            back += [align[a]] * len(space)
+            back += [lead] * len(space)
         for i in range(a, z):
             if text[i] == 0x20:
                 if self.squeeze and i > a and text[i - 1] == 0x20:
@@ -173,10 +176,15 @@ class PieceEncoder:
             sizes = np.array([len(p.encode()) if i == self.unknown else s for p, i, s in zip(own, ids, sizes.tolist())])
         ends = np.cumsum(sizes)
         if ends[-1] != len(norm):
-            raise ValueError("pieces do not cover the normalised text")
+            return self._library_spans(text.decode())
         starts, stops = align[ends - sizes], align[ends]
         return starts, stops
 
+    def _library_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The library's own offsets, for a text that it normalises in another way."""
+        at = np.array([(p.begin, p.end) for p in self.library.encode(text, return_type="proto").pieces], np.int64).reshape(-1, 2)
+        return at[:, 0], at[:, 1]
+
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 

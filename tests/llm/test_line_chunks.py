@@ -87,3 +87,31 @@ def test_passages_go_as_a_whole(spark):
             data.append((len(data), "\n".join([*head, *passage, *tail])))
     got = remove_repeated_chunks(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in got} == want
+
+
+def chunks_of(text, mean=4, roll=2):
+    """Chunk boundaries by a chunker of the test's own: plain integers, one line after another."""
+    lines = text.encode().split(b"\n")
+    hashes = [int(c.segment_hash(c.np.frombuffer(x, c.np.uint8), c.np.array([0]), c.np.array([len(x)]))[0]) for x in lines]
+
+    def mix(h):
+        for _ in range(2):
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        return h ^ h >> 32
+
+    out, a = [], 0
+    for i in range(len(lines)):
+        window = hashes[i - roll + 1 : i + 1] if i >= roll - 1 else None
+        value = mix(sum(h * pow(c.P, k, 2**64) for k, h in enumerate(window)) % 2**64) if window else None
+        if i == len(lines) - 1 or (window and value % mean == 0):
+            out.append((a, i + 1))
+            a = i + 1
+    full = [bool(x.strip(b"\x20\x09\x0a\x0b\x0c\x0d")) for x in lines]
+    own = [(a, z) for a, z in out if sum(full[a:z]) > 2 or (sum(full[a:z]) == 2 and not (full[a] and full[z - 1]))]
+    words = [i for i, f in enumerate(full) if f]
+    return sorted(own + [(p, q + 1) for p, q in zip(words, words[1:])])
+
+
+def test_boundaries_against_another_chunker():
+    for _, t in rows():
+        assert sorted(one(t or "")[1]) == chunks_of(t or ""), t

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import public_tokenizers
@@ -85,3 +86,37 @@ def test_documents(spark):
     arrays = encode_documents(df, MODEL)
     assert {tuple(r) for r in decode_pieces(arrays, MODEL).collect()} == {(i, lib.decode(lib.encode(t)) if t else "") for i, t, _ in rows}
     assert encode_documents(df.limit(0), MODEL).collect() == []
+
+
+def test_a_model_with_a_character_map_end_to_end(spark, tmp_path):
+    """The shipped model with a map of its own: ids are the library's, spans those of the longest-prefix walk and of the library."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    rules = {"é": "e", "éa": "X", "ab": "yy", "abc": "", "ﬁ": "fi", "　": " ", "\t": " "}
+    table, words = b"", {}
+    for k, v in rules.items():
+        words[k.encode()] = len(table)
+        table += v.encode() + b"\0"
+    units = trie(words)
+    for squeeze in (False, True):
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(MODEL, "rb") as f:
+            spec.ParseFromString(f.read())
+        spec.normalizer_spec.precompiled_charsmap = struct.pack("<I", len(units)) + units + table
+        spec.normalizer_spec.remove_extra_whitespaces = squeeze
+        path = str(tmp_path / f"mapped{squeeze}.model")
+        with open(path, "wb") as f:
+            f.write(spec.SerializeToString())
+        own, lib, rng = PieceEncoder(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(3)
+        assert own.normalise.map.units and not own.by_word
+        texts = TEXTS + ["éa é abc ab", "　x　　y", "ﬁne éabc", " \t "] + ["".join(rng.choice("éabcﬁ　 \tz") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+        for t in texts:
+            ids = own.pieces(t)
+            assert ids == lib.encode(t)
+            starts, stops = own.spans(t.encode(), ids)
+            pieces = lib.encode(t, return_type="proto").pieces
+            far = [(p.piece, a, z, p.begin, p.end) for p, a, z in zip(pieces, starts.tolist(), stops.tolist()) if not lib.is_byte(p.id) and p.piece != "▁" and (a, z) != (p.begin, p.end)]
+            assert not far, (t, far)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = {r.doc_id: r for r in encode_documents(df, path).collect()}
+        assert all(rows[i].ids == lib.encode(t) and rows[i].decoded == lib.decode(lib.encode(t)) for i, t in enumerate(texts) if t)
