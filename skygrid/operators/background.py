@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def offsets(layers: DataFrame) -> DataFrame:
-    """(i, j, offset, n): the median of value_i - value_j over pixels that both images cover, i < j."""
+    """(i, j, offset, n): the median of value_i - value_j over pixels that both images cover, i < j.
+
+    The differences of a pair are sorted, which spills, instead of being gathered in one aggregation buffer.
+    """
     rows = layers.where("footprint > 0 and value is not null")
     a = rows.select("plane", "y", "x", F.col("image_id").alias("i"), F.col("value").alias("vi"))
     b = rows.select("plane", "y", "x", F.col("image_id").alias("j"), F.col("value").alias("vj"))
     both = a.join(b, ["plane", "y", "x"]).where("i < j")
-    return both.groupBy("i", "j").agg(F.median(F.col("vi") - F.col("vj")).alias("offset"), F.count(F.lit(1)).alias("n"))
+    diff = both.select("i", "j", (F.col("vi") - F.col("vj")).alias("d"))
+    pair = Window.partitionBy("i", "j")
+    ranked = diff.select("i", "j", "d", F.row_number().over(pair.orderBy("d")).alias("rank"), F.count(F.lit(1)).over(pair.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    middle = ranked.where("rank = (n + 1) div 2 or rank = n div 2 + 1")
+    return middle.groupBy("i", "j").agg(F.avg("d").alias("offset"), F.first("n").alias("n"))
 
 
 def matrix(pairs: list[tuple[int, int, float]], n: int) -> np.ndarray:
@@ -26,29 +33,54 @@ def matrix(pairs: list[tuple[int, int, float]], n: int) -> np.ndarray:
 
 
 def solve(offset: np.ndarray) -> np.ndarray:
+    """Corrections of a whole matrix of offsets; see ``solve_pairs``."""
+    i, j = np.nonzero(np.triu(np.isfinite(offset), 1))
+    return solve_pairs(i, j, offset[i, j], len(offset))
+
+
+def solve_pairs(i: np.ndarray, j: np.ndarray, offset: np.ndarray, n: int) -> np.ndarray:
     """Corrections c with c_i - c_j close to the offsets, by least squares; their mean is zero in each connected set.
 
-    The normal equations are the graph Laplacian of the known pairs, so isolated images get zero.
+    The normal equations are the graph Laplacian of the known pairs, solved by conjugate gradients: memory and a step
+    grow with the pairs.  Isolated images get zero.
     """
-    known = np.isfinite(offset) & ~np.eye(len(offset), dtype=bool)
-    scale = np.abs(offset[known]).max() if known.any() else 0.0
+    scale = float(np.abs(offset).max()) if len(offset) else 0.0
     if scale == 0:
-        return np.zeros(len(offset))
-    laplace = np.diag(known.sum(1)).astype(float) - known
-    c = np.linalg.lstsq(laplace, np.where(known, offset / scale, 0).sum(1), rcond=None)[0]
-    seen = np.zeros(len(offset), bool)
-    for start in range(len(offset)):
-        if seen[start]:
-            continue
-        part, todo = {start}, [start]
-        while todo:
-            new = set(np.flatnonzero(known[todo.pop()])) - part
-            part |= new
-            todo += new
-        members = np.array(sorted(part))
-        seen[members] = True
-        c[members] -= c[members].mean()
-    return c * scale
+        return np.zeros(n)
+    d = offset / scale
+    degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n).astype(float)
+    of = np.maximum(degree, 1)
+    times = lambda v: degree * v - np.bincount(i, v[j], n) - np.bincount(j, v[i], n)
+    set_of = _connected(i, j, n)
+    size = np.bincount(set_of, minlength=n)
+    centred = lambda v: v - (np.bincount(set_of, v, n) / np.maximum(size, 1))[set_of]
+    c, r = np.zeros(n), np.bincount(i, d, n) - np.bincount(j, d, n)
+    z = r / of
+    p, rz, least = z.copy(), float(r @ z), 1e-30 * float(r @ (r / of))
+    for _ in range(4 * n + 50):
+        if rz <= least or rz == 0:
+            break
+        q = times(p)
+        step = rz / float(p @ q)
+        c, r = c + step * p, r - step * q
+        z = r / of
+        rz, before = float(r @ z), rz
+        p = z + rz / before * p
+    return centred(c) * scale
+
+
+def _connected(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least member of each image's connected set."""
+    out = np.arange(n)
+    while True:
+        least = np.minimum(out[i], out[j])
+        new = out.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == out).all():
+            return out
+        out = new
 
 
 def match(layers: DataFrame, n: int, reference: int | None = None) -> DataFrame:
@@ -57,7 +89,8 @@ def match(layers: DataFrame, n: int, reference: int | None = None) -> DataFrame:
     Only the offsets, one row for each pair of overlapping images, reach the driver.
     """
     pairs = [(r.i, r.j, r.offset) for r in offsets(layers).collect()]
-    c = solve(matrix(pairs, n))
+    i, j = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    c = solve_pairs(i, j, np.array([p[2] for p in pairs], float), n)
     if reference is not None:
         c = c - c[reference]
     spark = layers.sparkSession

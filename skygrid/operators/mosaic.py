@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..raster import Grid, Raster
-from . import background
+from ..storage import cut
+from . import background, stack
 from .bounds import bounds_of
 from .interpolate import interpolate
+from .stack import Stack
 
 COMBINE = ("mean", "sum", "first", "last", "min", "max", "median")
 
@@ -67,8 +69,16 @@ def weighted(layer: DataFrame, weights: DataFrame) -> DataFrame:
     return layer.join(w, keys).withColumn("footprint", F.col("footprint") * F.col("weight")).drop("weight")
 
 
-def layers_of(images: list[Raster], grid: Grid, function=interpolate, weights: list[Raster] | None = None, **options) -> DataFrame:
-    """All images on the grid.  Each is resampled inside its bounds only; images that miss the grid are left out."""
+def layers_of(images: list[Raster] | Stack, grid: Grid, function=interpolate, weights: list[Raster] | Stack | None = None, **options) -> DataFrame:
+    """All images on the grid.  Each is resampled inside its bounds only; images that miss the grid are left out.
+
+    A stack is mapped by one plan whatever the number of its images; a list is resampled image by image, by any function.
+    """
+    if isinstance(images, Stack):
+        if function is not interpolate or not (weights is None or isinstance(weights, Stack)):
+            raise ValueError("a stack is interpolated, and its weights are a stack")
+        layers = stack.resample(images, grid, **options)
+        return layers if weights is None else weighted(layers, stack.resample(weights, grid, **options).select("image_id", "y", "x", "value"))
     out = []
     for k, image in enumerate(images):
         part = bounds_of(image.shape[-2:], image.wcs, grid)
@@ -86,11 +96,11 @@ def layers_of(images: list[Raster], grid: Grid, function=interpolate, weights: l
 
 
 def coadd(
-    images: list[Raster], target, shape=None, weights: list[Raster] | None = None, function=interpolate, how: str = "mean", match_background: bool = False,
+    images: list[Raster] | Stack, target, shape=None, weights: list[Raster] | Stack | None = None, function=interpolate, how: str = "mean", match_background: bool = False,
     background_reference: int | None = None, blank: float | None = 0.0, **options,
 ) -> DataFrame:
     """Resample and co-add: plane, y, x, value, footprint for every pixel of the grid."""
-    if not images:
+    if not len(images):
         raise ValueError("there are no images")
     if how not in COMBINE:
         raise ValueError(f"combine function must be one of {', '.join(COMBINE)}")
@@ -99,8 +109,8 @@ def coadd(
     grid = Grid.parse(target, shape)
     layers = layers_of(images, grid, function, weights, **options)
     if match_background:
-        layers = background.match(layers, len(images), background_reference)
+        layers = background.match(cut(layers), len(images), background_reference)
     folded = combine(layers, how)
-    spark = images[0].pixels.sparkSession
-    planes = reduce(DataFrame.unionByName, [i.pixels.select("plane") for i in images]).distinct()
+    pixels = images.pixels.select("plane") if isinstance(images, Stack) else reduce(DataFrame.unionByName, [i.pixels.select("plane") for i in images])
+    spark, planes = pixels.sparkSession, pixels.distinct()
     return fill_blank(planes.join(grid.pixels(spark)), folded, blank)

@@ -478,7 +478,7 @@ def quad_overlap(spark, sf_dir):
 
 def _mosaic(spark, sf_dir, how: str, weights: bool = False, **options) -> DataFrame:
     images = r.exposures(spark, sf_dir)
-    grid = Grid(linear(), (images[0].ny, 110))
+    grid = Grid(linear(), (images.images[0][0][0], 110))
     own = r.weights(spark, sf_dir) if weights else None
     return _image(mosaic.coadd(images, grid, weights=own, how=how, order="nearest-neighbor", **options))
 
@@ -543,15 +543,15 @@ def coadd_match_background(spark, sf_dir):
 @query(f"""WITH l AS ({EXPOSURES_SQL}) SELECT a.k AS i, b.k AS j, round(median(a.value - b.value), 6) AS "offset", count(*) AS n FROM l a JOIN l b ON a.y = b.y AND a.x = b.x AND a.k < b.k GROUP BY 1, 2""")
 def bg_offsets(spark, sf_dir):
     images = r.exposures(spark, sf_dir)
-    layers = mosaic.layers_of(images, Grid(linear(), (images[0].ny, 110)), order="nearest-neighbor")
+    layers = mosaic.layers_of(images, Grid(linear(), (images.images[0][0][0], 110)), order="nearest-neighbor")
     return background.offsets(layers).select("i", "j", F.round("offset", 6).alias("offset"), "n")
 
 
 @query(f"WITH o AS ({ORD_SQL}) SELECT k AS image_id, 0::BIGINT AS y0, max(y) + 1 AS y1, 15 * k AS x0, 15 * k + 40 AS x1 FROM o CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS k) GROUP BY k")
 def coadd_bounds(spark, sf_dir):
     images = r.exposures(spark, sf_dir)
-    grid = Grid(linear(), (images[0].ny, 110))
-    rows = [(k, *bounds.bounds_of(i.shape, i.wcs, grid)) for k, i in enumerate(images)]
+    grid = Grid(linear(), (images.images[0][0][0], 110))
+    rows = [(k, *bounds.bounds_of(shape, wcs, grid)) for k, (shape, wcs) in enumerate(images.images)]
     return spark.createDataFrame(rows, "image_id long, y0 long, y1 long, x0 long, x1 long")
 
 

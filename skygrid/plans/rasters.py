@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.wcs import Wcs
+from ..operators.stack import Stack
 from ..raster import Raster
 
 WIDTH = 100
@@ -67,25 +68,17 @@ def embeddings(spark, sf_dir, wcs: Wcs | None = None) -> Raster:
     return Raster.of(rows.select("plane", F.expr("k div 8").alias("y"), F.expr("k % 8").alias("x"), "value"), wcs or linear(), (8, 8))
 
 
-def exposures(spark, sf_dir, count: int = 5, width: int = 40, step: int = 15, offset: float = 10.0) -> list[Raster]:
-    """Overlapping crops of the orders' raster, each with an additive offset."""
-    whole = orders(spark, sf_dir)
-    out = []
-    for k in range(count):
-        cut = whole.pixels.where((F.col("x") >= step * k) & (F.col("x") < step * k + width))
-        own = cut.select("plane", "y", (F.col("x") - step * k).alias("x"), (F.col("value") + offset * k).alias("value"))
-        out.append(Raster(own, whole.wcs.shifted(step * k, 0), (whole.ny, width)))
-    return out
+def exposures(spark, sf_dir, value: str = "value + 10.0D * image_id", source: str = "o_totalprice", count: int = 5, width: int = 40, step: int = 15) -> Stack:
+    """Overlapping crops of the orders' raster as one stack, each with an additive offset."""
+    whole = orders(spark, sf_dir, value=source)
+    cut = whole.pixels.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(count)])).alias("image_id")).withColumn("x", F.col("x") - step * F.col("image_id"))
+    pixels = cut.where((F.col("x") >= 0) & (F.col("x") < width)).select("image_id", "plane", "y", "x", F.expr(value).alias("value"))
+    return Stack(pixels, tuple(((whole.ny, width), whole.wcs.shifted(step * k, 0)) for k in range(count)))
 
 
-def weights(spark, sf_dir, count: int = 5, width: int = 40, step: int = 15) -> list[Raster]:
+def weights(spark, sf_dir) -> Stack:
     """Weights of the exposures: (o_custkey % 5) / 4."""
-    whole = orders(spark, sf_dir, value="(o_custkey % 5) / 4.0D")
-    out = []
-    for k in range(count):
-        cut = whole.pixels.where((F.col("x") >= step * k) & (F.col("x") < step * k + width))
-        out.append(Raster(cut.withColumn("x", F.col("x") - step * k), whole.wcs.shifted(step * k, 0), (whole.ny, width)))
-    return out
+    return exposures(spark, sf_dir, "value", "(o_custkey % 5) / 4.0D")
 
 
 def order_for(count: int) -> int:

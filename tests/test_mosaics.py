@@ -1,8 +1,11 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
-from skygrid.functions.wcs import Wcs
+from skygrid.functions.wcs import Wcs, change_frame
 from skygrid.operators import background, bounds, mosaic, target
+from skygrid.operators.stack import Stack
 from skygrid.raster import Grid, Raster, to_array
 
 TAN = Wcs((9.0, 8.0), (-0.1, 0.1), (43.0, 23.0), ("RA---TAN", "DEC--TAN"))
@@ -70,3 +73,36 @@ def test_optimal_grid():
         target.optimal_grid([((30, 40), Wcs((1.0, 1.0), (1.0, 1.0), (0.0, 0.0)))])
     with pytest.raises(ValueError):
         target.optimal_grid([((3, 30, 40), Wcs((1.0, 1.0, 1.0), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0), ("RA---TAN", "DEC--TAN", "FREQ")))])
+
+
+def test_a_stack_is_its_images(spark):
+    """One plan for all images gives what image by image gives, on the sky and across frames."""
+    rng = np.random.default_rng(8)
+    turned = ((0.8, -0.6), (0.6, 0.8))
+    own = [Wcs((5.0 + k, 6.0), (-0.1, 0.1), (43.0 + 0.3 * k, 23.0 - 0.2 * k), ("RA---TAN", "DEC--TAN"), turned if k == 2 else None) for k in range(4)]
+    images = [Raster.from_array(spark, np.where(rng.random((9, 11)) < 0.05, np.nan, rng.random((9, 11))), w) for w in (*own, own[0].shifted(9000, 0))]
+    far = Wcs((10.0, 10.0), (-0.11, 0.11), (140.0, 40.0), ("GLON-TAN", "GLAT-TAN"))
+    for grid in (Grid(TAN, (24, 30)), Grid(replace(far, crval=change_frame(43.0, 23.0, "icrs", "galactic")), (30, 30))):
+        for order in ("bilinear", "nearest"):
+            one, all_of = (mosaic.layers_of(x, grid, order=order) for x in (images, Stack.of(images)))
+            value = lambda df: {(r.image_id, r.y, r.x): r.value for r in df.collect()}
+            a, b = value(one), value(all_of)
+            assert a.keys() == b.keys() and len(a) > 200 and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    flat = [Raster.from_array(spark, rng.random((6, 7)), Wcs((1.0 - 4 * k, 1.0), (1.0, 1.0), (0.0, 0.0))) for k in range(3)]
+    grid = Grid(Wcs((1.0, 1.0), (0.5, 0.5), (0.0, 0.25)), (12, 30))
+    a, b = (to_array(mosaic.coadd(x, grid, how="mean"), (12, 30))[0] for x in (flat, Stack.of(flat)))
+    assert np.allclose(a, b, atol=1e-12)
+    with pytest.raises(ValueError):
+        Stack.of([images[0], flat[0]])
+
+
+def test_corrections_of_many_images():
+    rng = np.random.default_rng(4)
+    n = 20_000
+    c = rng.normal(size=n)
+    i = np.concatenate([np.arange(n - 1), rng.integers(0, n, 60_000)])
+    j = np.concatenate([np.arange(1, n), rng.integers(0, n, 60_000)])
+    i, j = i[i != j], j[i != j]
+    assert np.allclose(background.solve_pairs(i, j, c[i] - c[j], n), c - c.mean(), atol=1e-6)
+    apart = background.solve_pairs(np.array([0, 3]), np.array([1, 4]), np.array([2.0, 4.0]), 6)
+    assert np.allclose(apart, [1, -1, 0, 2, -2, 0])
