@@ -415,6 +415,48 @@ class Wcs:
         return out
 
 
+@dataclass(frozen=True)
+class OwnWcs:
+    """A user's own coordinate system: two functions, from pixels to world and back, in axis order.
+
+    The functions take and return columns, or numpy arrays on the driver, so formulas in plain operators and
+    ``functions.backend.math_of`` serve both; what only numpy can do goes into a ``pandas_udf`` for the columns.  ``kinds``
+    names the axes as ctypes do (for the sky: degrees of ``frame``).
+    """
+
+    forward: Callable
+    backward: Callable
+    kinds: tuple[str, ...] = ("", "")
+    frame: str | None = None
+    scale: float = 1.0
+    shape: tuple[int, ...] | None = field(default=None, compare=False)
+
+    @property
+    def naxis(self) -> int:
+        return len(self.kinds)
+
+    @property
+    def ctype(self) -> tuple[str, ...]:
+        return self.kinds
+
+    kind, _axis = Wcs.kind, Wcs._axis
+    celestial, has_celestial, spectral, has_spectral, sky = Wcs.celestial, Wcs.has_celestial, Wcs.spectral, Wcs.has_spectral, Wcs.sky
+
+    def pixel_to_world(self, *pixels) -> list:
+        return list(self.forward(*pixels))
+
+    def world_to_pixel(self, *world) -> list:
+        return list(self.backward(*world))
+
+    def pixel_scale(self) -> float:
+        return self.scale
+
+    def shifted(self, *starts: float) -> OwnWcs:
+        """The system of a cutout that begins at these pixels (x first)."""
+        there, back = self.forward, self.backward
+        return replace(self, forward=lambda *p: there(*[v + s for v, s in zip(p, starts)]), backward=lambda *w: [v - s for v, s in zip(back(*w), starts)])
+
+
 def transform(source: Wcs, target: Wcs, *pixels):
     """Pixels of ``source`` as pixels of ``target``, through the sky where both have one; for arrays (columns: ``move``)."""
     world = source.pixel_to_world(*pixels)
@@ -450,6 +492,9 @@ def to_sky(df: DataFrame, source: Wcs, points: dict[str, tuple], frame: str | No
     with the number of stages and not with their product.
     """
     n = source.naxis
+    if isinstance(source, OwnWcs):
+        df = bind(df, {f"{p}_w{i}": v for p, at in points.items() for i, v in enumerate(source.pixel_to_world(*at))})
+        return _in_frame(df, source, list(points), frame) if source.has_celestial else df
     df = bind(df, {f"{p}_w{i}": v for p, at in points.items() for i, v in enumerate(source.pixel_to_plane(*at))})
     if not source.has_celestial:
         return bind(df, {f"{p}_w{i}": source.axis_world(i, F.col(f"{p}_w{i}")) for p in points for i in range(n)})
@@ -460,6 +505,12 @@ def to_sky(df: DataFrame, source: Wcs, points: dict[str, tuple], frame: str | No
         out |= {f"{p}_w{a}": source.axis_world(a, F.col(f"{p}_w{a}")) for a in range(n) if a not in (i, j)}
     df = bind(df, out)
     df = _bound_rotation(df, [p for p in points], i, j, source._to_sky_vector, source._pole()[0])
+    return _in_frame(df, source, list(points), frame)
+
+
+def _in_frame(df: DataFrame, source: Wcs, names: list[str], frame: str | None) -> DataFrame:
+    """Celestial axes of the source's frame in another one."""
+    i, j = source.celestial
     if frame is None or np.array_equal(FROM_ICRS[frame_name(frame)], FROM_ICRS[source.sky]):
         return df
     r = FROM_ICRS[frame_name(frame)] @ FROM_ICRS[source.sky].T
@@ -468,7 +519,7 @@ def to_sky(df: DataFrame, source: Wcs, points: dict[str, tuple], frame: str | No
         v = unit_vector(lon, lat)
         return [sum(float(r[a, b]) * v[b] for b in range(3)) for a in range(3)]
 
-    return _bound_rotation(df, [p for p in points], i, j, turned, 0.0)
+    return _bound_rotation(df, names, i, j, turned, 0.0)
 
 
 def _bound_rotation(df: DataFrame, names: list[str], i: int, j: int, vector, shift: float, low: float = 0.0) -> DataFrame:
@@ -488,6 +539,8 @@ def _bound_rotation(df: DataFrame, names: list[str], i: int, j: int, vector, shi
 def from_sky(df: DataFrame, target: Wcs, names: list[str], frame: str | None = None) -> DataFrame:
     """Replace world coordinates (``<name>_w*``, in the target's axis order) by pixel positions, in place."""
     n = target.naxis
+    if isinstance(target, OwnWcs) and not target.has_celestial:
+        return _own_pixels(df, target, names)
     if not target.has_celestial:
         plane = {p: [target.axis_plane(a, F.col(f"{p}_w{a}")) for a in range(n)] for p in names}
         return bind(df, {f"{p}_w{a}": v for p in names for a, v in enumerate(target.plane_to_pixel(*plane[p]))})
@@ -500,6 +553,8 @@ def from_sky(df: DataFrame, target: Wcs, names: list[str], frame: str | None = N
             return [sum(float(r[a, b]) * v[b] for b in range(3)) for a in range(3)]
 
         df = _bound_rotation(df, names, i, j, turned, 0.0)
+    if isinstance(target, OwnWcs):
+        return _own_pixels(df, target, names)
     df = _bound_rotation(df, names, i, j, target._to_native_vector, target._pole()[2], low=-180.0)
     out = {}
     for p in names:
@@ -509,6 +564,10 @@ def from_sky(df: DataFrame, target: Wcs, names: list[str], frame: str | None = N
     return bind(df, {f"{p}_w{a}": v for p in names for a, v in enumerate(target.plane_to_pixel(*[F.col(f"{p}_w{b}") for b in range(n)]))})
 
 
+def _own_pixels(df: DataFrame, target: OwnWcs, names: list[str]) -> DataFrame:
+    return bind(df, {f"{p}_w{a}": v for p in names for a, v in enumerate(target.world_to_pixel(*[F.col(f"{p}_w{b}") for b in range(target.naxis)]))})
+
+
 def move(df: DataFrame, source: Wcs, target: Wcs, points: dict[str, tuple], roundtrip: bool = False) -> DataFrame:
     """Add pixel positions in ``target`` of pixel positions in ``source``: ``<name>_w0`` (x), ``<name>_w1`` (y), ...
 

@@ -215,6 +215,26 @@ def union_of(sets: list[DataFrame], on_overlap: str = "last") -> DataFrame:
     return rows.join(owner.drop("n"), [*keys, "set"]).drop("set")
 
 
+def blend(sets: list[DataFrame]) -> DataFrame:
+    """Colour tiles (planes 0 .. 3, bytes, plane 3 the opacity) of several sets laid over each other, the first one on top."""
+    keys, rows = ["norder", "npix", "y", "x"], None
+    for k, s in enumerate(sets):
+        s = s.select(*keys, "plane", "value").withColumn("set", F.lit(k))
+        rows = s if rows is None else rows.unionByName(s)
+    wide = rows.groupBy(*keys, "set").agg(*[F.coalesce(F.max(F.when(F.col("plane") == c, F.col("value"))), F.lit(0.0)).alias(f"p{c}") for c in range(4)])
+    layers = wide.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("set", *[f"p{c}" for c in range(4)]))).alias("layers"))
+
+    def over(acc, e):
+        a = e["p3"] / 255 * (1 - acc["a"])
+        return F.struct((acc["a"] + a).alias("a"), *[(acc[f"c{c}"] + a * e[f"p{c}"]).alias(f"c{c}") for c in range(3)])
+
+    start = F.struct(F.lit(0.0).alias("a"), *[F.lit(0.0).alias(f"c{c}") for c in range(3)])
+    done = layers.select(*keys, F.aggregate("layers", start, over).alias("b"))
+    cells = [F.struct(F.lit(c).cast("long").alias("plane"), F.coalesce(F.try_divide(F.col(f"b.c{c}"), F.col("b.a")), F.lit(0.0)).alias("value")) for c in range(3)]
+    cells.append(F.struct(F.lit(3).cast("long").alias("plane"), (F.col("b.a") * 255).alias("value")))
+    return done.select(*keys, F.inline(F.array(*cells)))
+
+
 # --- names and texts --------------------------------------------------------------------------
 
 

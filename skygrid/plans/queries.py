@@ -13,6 +13,7 @@ from ..functions import spectral
 from ..functions.wcs import Wcs, change_frame, move
 from ..operators import adaptive, background, bounds, coverage, hips, interpolate, mosaic, overlap, planes as raster_ops, spherical, target
 from ..raster import Grid, Raster
+from ..sources import png
 from ..sources import tiles as tile_tables
 from ..sources import tree
 from ..storage import cut, shared_path
@@ -94,6 +95,18 @@ def rgba_alpha(spark, sf_dir):
     return raster_ops.transparent(rows, rows.where("plane = 0").select("y", "x", F.col("opacity").alias("alpha"))).select("y", "x", "red", "green", "blue", "alpha")
 
 
+@query("SELECT event_id % 3 AS plane, event_id // 3 // 100 AS y, event_id // 3 % 100 AS x, floor(least(value, 255.0::DOUBLE)) AS value FROM events WHERE event_id < (SELECT max(event_id) + 1 FROM events) // 300 * 300")
+def src_image_bytes(spark, sf_dir):
+    """The events as a colour image of whole rows of 100 pixels, encoded as PNG bytes in a file and read back."""
+    e, rows = "cast(event_id as long)", r.table(spark, sf_dir, "events")
+    pixels = rows.selectExpr(f"{e} % 3 as plane", f"{e} div 3 div 100 as y", f"{e} div 3 % 100 as x", "floor(least(value, 255.0D)) as value")
+    # whole rows only: a picture is a rectangle
+    full = pixels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).where("n = 300").select("y")
+    folder = shared_path(spark, "png")
+    png.write(pixels.join(full, "y", "left_semi"), f"{folder}/image.png")
+    return png.read(spark, folder).select("plane", "y", "x", "value")
+
+
 # --- coordinates ------------------------------------------------------------------------------------
 
 ROTATED = ((0.8, -0.6), (0.6, 0.8))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.wcs import Wcs
+from .functions.wcs import OwnWcs, Wcs
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Grid:
         if isinstance(target, Grid):
             return target
         wcs = Wcs.from_header(target) if isinstance(target, dict) else target
-        if not isinstance(wcs, Wcs):
+        if not isinstance(wcs, (Wcs, OwnWcs)):
             raise TypeError("the target must be a header, a coordinate description or a grid")
         own = wcs.shape if isinstance(target, dict) and wcs.shape else shape or wcs.shape
         if own is None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def assign(pixels: DataFrame, tile: int) -> DataFrame:
     """Pixels with their tile (ty, tx)."""
@@ -33,5 +35,18 @@ def write(pixels: DataFrame, path: str, tile: int = 256, by: tuple[str, ...] = (
     rows.repartitionByRange(*by, "tx").sortWithinPartitions(*by, "tx", "y", "x").write.mode("errorifexists").partitionBy(*by).parquet(path)
 
 
+def update(pixels: DataFrame, path: str, tile: int = 256, by: tuple[str, ...] = ("ty",)) -> None:
+    """Put pixels into a table that is there: rows of tiles (``by``) that they touch are replaced as a whole, others stay.
+
+    Stored pixels of those rows that the new ones do not cover are kept.
+    """
+    spark = pixels.sparkSession
+    new = cut(assign(pixels, tile))
+    keys = [k for k in ("image_id", "plane", "y", "x") if k in new.columns]
+    old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select(*by).distinct()), list(by), "left_semi").join(new.select(*keys), keys, "left_anti")
+    rows = cut(new.unionByName(old.select(*new.columns)))
+    rows.repartitionByRange(*by, "tx").sortWithinPartitions(*by, "tx", "y", "x").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

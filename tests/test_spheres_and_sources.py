@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skygrid.functions.wcs import Wcs
+from skygrid.functions.wcs import OwnWcs, Wcs, change_frame
 from skygrid.operators import coverage, hips, interpolate, spherical
 from skygrid.raster import Grid, Raster, to_array
 from skygrid.sources import fits, png, tiles, tree
@@ -181,3 +181,57 @@ def test_tiles_of_a_cube(spark):
     assert {r.value for r in rows} >= {2.0, 3.0, 4.0} and all(abs((r.hz - 1e9) / 2e9 - r.value) <= 0.5 + 1e-9 for r in rows)
     up = hips.pyramid_3d(made, 4, 8, 2, 6)
     assert {r.norder for r in up.select("norder").distinct().collect()} == {0, 1, 2}
+
+
+def test_tables_are_updated_in_place(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(64).selectExpr("0L as plane", "id div 8 as y", "id % 8 as x", "1.0D as value")
+    tiles.write(old, path, 2)
+    tiles.update(spark.range(3).selectExpr("0L as plane", "5L as y", "id as x", "7.0D as value"), path, 2)
+    got = {(r.y, r.x): r.value for r in tiles.read(spark, path).collect()}
+    assert len(got) == 64 and {k for k, v in got.items() if v == 7} == {(5, 0), (5, 1), (5, 2)}
+
+
+def test_images_over_each_other(spark):
+    rows = [(k, c, float(v)) for k, px in enumerate([(200, 100, 0, 255), (0, 50, 100, 128)]) for c, v in enumerate(px)]
+    make = lambda k, x: spark.createDataFrame([(1, 2, 0, x, c, v) for i, c, v in rows if i == k], "norder int, npix long, y long, x long, plane long, value double")
+    out = {(r.x, r.plane): r.value for r in hips.blend([make(1, 0).union(make(1, 1)), make(0, 0)]).collect()}
+    a = 128 / 255
+    assert np.allclose([out[0, c] for c in range(4)], [200 * (1 - a), 50 * a + 100 * (1 - a), 100 * a, 255])
+    assert np.allclose([out[1, c] for c in range(4)], [0, 50, 100, 128])
+
+
+def test_description_in_a_png():
+    import struct
+    import zlib
+
+    xmp = b'<x avm:Spatial.Rotation="30" avm:Spatial.CoordinateFrame="ICRS"><avm:Spatial.ReferenceValue><rdf:Seq><rdf:li>10.5</rdf:li><rdf:li>-3</rdf:li></rdf:Seq></avm:Spatial.ReferenceValue><avm:Spatial.ReferencePixel><rdf:Seq><rdf:li>4</rdf:li><rdf:li>5</rdf:li></rdf:Seq></avm:Spatial.ReferencePixel><avm:Spatial.Scale><rdf:Seq><rdf:li>-0.1</rdf:li><rdf:li>0.1</rdf:li></rdf:Seq></avm:Spatial.Scale></x>'
+    plain = png.encode(np.zeros((3, 8, 9), np.uint8))
+    assert png.description(plain) is None
+    for packed in (0, 1):
+        body = b"XML:com.adobe.xmp\0" + bytes([packed, 0]) + b"\0\0" + (zlib.compress(xmp) if packed else xmp)
+        chunk = struct.pack(">I", len(body)) + b"iTXt" + body + struct.pack(">I", zlib.crc32(b"iTXt" + body))
+        wcs = png.description(plain[:33] + chunk + plain[33:])
+        assert wcs.crval == (10.5, -3.0) and wcs.crpix == (4.0, 5.0) and wcs.ctype == ("RA---TAN", "DEC--TAN") and abs(wcs.pc[1][0] - 0.5) < 1e-12
+
+
+def test_files_by_address(spark, tmp_path):
+    path = f"file://{tmp_path}/a.fits"
+    fits.write_image(path, np.arange(12.0).reshape(3, 4), SIMPLE.to_header())
+    with pytest.raises(FileExistsError):
+        fits.write_image(path, np.zeros((2, 2)))
+    assert fits.raster(spark, path).pixels.where("value = 7 and y = 1 and x = 3").count() == 1
+
+
+def test_own_coordinates(spark):
+    """A user's two functions give what the description they imitate gives, as source and as target."""
+    own = OwnWcs(lambda x, y: SIMPLE.pixel_to_world(x, y), lambda a, b: SIMPLE.world_to_pixel(a, b), ("RA", "DEC"), scale=0.04)
+    far = Wcs((1.0, 1.0), (0.04, 0.04), (0.0, 0.0), ("GLON-CAR", "GLAT-CAR"))
+    lon, lat = change_frame(30.0, 40.0, "icrs", "galactic")
+    grid = Grid(far.shifted(round(float(lon) / 0.04) - 20, round(float(lat) / 0.04) - 20), (40, 40))
+    a = np.random.default_rng(2).random((30, 40))
+    value = lambda wcs: to_array(interpolate.interpolate(Raster.from_array(spark, a, wcs), grid), (40, 40))[0]
+    one, two = value(SIMPLE), value(own)
+    assert np.isfinite(one).sum() > 100 and np.allclose(one, two, atol=1e-9, equal_nan=True)
+    back = to_array(interpolate.interpolate(Raster.from_array(spark, a, SIMPLE), Grid(own.shifted(3, 2), (20, 25))), (20, 25))[0]
+    assert np.allclose(back, a[2:22, 3:28], atol=1e-6)
