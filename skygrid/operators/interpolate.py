@@ -110,10 +110,7 @@ def interpolate(raster: Raster, target, order: str | int = "bilinear", shape=Non
     spark = raster.pixels.sparkSession
     places = mapped(grid, raster.wcs, grid.pixels(spark, bounds), roundtrip)
     data = raster.pixels if k < 2 else spline_coefficients(raster, k)
-    hits = sample(places, data, raster.shape, k)
-    planes = raster.pixels.select("plane").distinct()
-    full = planes.join(grid.pixels(spark, bounds))
-    out = full.join(hits, ["plane", "y", "x"], "left")
+    out = sample(places, data, raster.shape, k, every=raster.pixels.select("plane").distinct().join(grid.pixels(spark, bounds)))
     return out.select("plane", "y", "x", "value", F.col("value").isNotNull().cast("double").alias("footprint"))
 
 
@@ -134,14 +131,17 @@ def _cube(raster: Raster, grid: Grid, order: int, roundtrip: bool) -> DataFrame:
     places = move(grid.cells(spark), grid.wcs, raster.wcs, {"at": at}, roundtrip).withColumnsRenamed({f"at_w{i}": f"{k}i" for i, k in enumerate("xyz")})
     data = raster.pixels if order < 2 else spline_coefficients(raster, order)
     cube = data.select(F.expr(f"plane div {raster.nz}").alias("plane"), F.pmod("plane", F.lit(raster.nz)).alias("z"), "y", "x", "value")
-    hits = sample(places, cube, raster.shape, order, keys=("z", "y", "x"), axes="xyz")
     cubes = raster.pixels.select(F.expr(f"plane div {raster.nz}").alias("plane")).distinct()
-    out = cubes.join(grid.cells(spark)).join(hits, ["plane", "z", "y", "x"], "left")
+    out = sample(places, cube, raster.shape, order, keys=("z", "y", "x"), axes="xyz", every=cubes.join(grid.cells(spark)))
     return out.select((F.col("plane") * grid.nz + F.col("z")).alias("plane"), "y", "x", "value", F.col("value").isNotNull().cast("double").alias("footprint"))
 
 
-def sample(places: DataFrame, data: DataFrame, shape: tuple[int, ...], order: int, keys: tuple[str, ...] = ("y", "x"), axes: str = "xy") -> DataFrame:
-    """Values of ``data`` at the positions (xi, yi, and zi of a cube): plane, keys and value; only positions inside have rows."""
+def sample(places: DataFrame, data: DataFrame, shape: tuple[int, ...], order: int, keys: tuple[str, ...] = ("y", "x"), axes: str = "xy", every: DataFrame | None = None) -> DataFrame:
+    """Values of ``data`` at the positions (xi, yi, and zi of a cube): plane, keys and value; only positions inside have rows.
+
+    ``every`` (plane, keys) gives each of its rows a row of the result, NULL where nothing was found.  They go into the
+    shuffle of the neighbours, so that pixels without a value cost no join of their own.
+    """
     length = dict(zip("xyz", reversed(shape)))
     within = inside(F.col("xi"), length["x"])
     for a in axes[1:]:
@@ -152,7 +152,10 @@ def sample(places: DataFrame, data: DataFrame, shape: tuple[int, ...], order: in
     right = data.select("plane", *[F.col(a).alias(f"s{a}") for a in axes], F.col("value").alias("v"))
     if order == 0:
         near = ok.select(*keys, *[taps[a][0][0].alias(f"s{a}") for a in axes])
-        return near.join(right, spots).select("plane", *keys, F.col("v").alias("value"))
+        got = near.join(right, spots).select("plane", *keys, F.col("v").alias("value"))
+        if every is None:
+            return got
+        return got.unionByName(every.select("plane", *keys, F.lit(None).cast("double").alias("value"))).groupBy("plane", *keys).agg(F.max("value").alias("value"))
     n = len(taps["x"][0])
     # the neighbours along one axis after another, the last axis first, numbered in C order
     long, tap, weight = ok, F.lit(0), None
@@ -163,7 +166,9 @@ def sample(places: DataFrame, data: DataFrame, shape: tuple[int, ...], order: in
         long = long.select(*keys, *[f"{b}i" for b in axes[::-1][done + 1 :]], *before, near)
         tap = tap * n + F.col(f"{a}_tap")
         weight = F.col(f"{a}_w") if weight is None else weight * F.col(f"{a}_w")
-    long = long.select(*keys, tap.alias("tap"), *spots, weight.alias("w")).join(right, spots)
+    long = long.select(*keys, tap.alias("tap"), *spots, weight.alias("w")).join(right, spots).select("plane", *keys, "tap", "w", "v")
+    if every is not None:
+        long = long.unionByName(every.select("plane", *keys, F.lit(-1).alias("tap"), F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("v")))
     # the weighted neighbours in fixed order; one is missing if fewer than all have a value
     count = n ** len(axes)
     terms = [F.max(F.when(F.col("tap") == t, F.col("w") * F.col("v"))).alias(f"t{t}") for t in range(count)]
