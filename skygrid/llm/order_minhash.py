@@ -227,12 +227,12 @@ def link(texts, threshold: float, across: int | None = None) -> list[tuple[int,
 
 #: Neighbours from which a node's edges are spread over several tasks, and over how many.
 HOT_DEGREE, SPREAD = 4096, 32
+#: Pairs that one task may finish.
+LOCAL_PAIRS = 1 << 19
 
 
-def _with_value(edges: DataFrame, values: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _with_value(edges: DataFrame, values: DataFrame, hot: DataFrame) -> DataFrame:
     """Each edge with the value of its node ``u``; edges of hot nodes are dealt out over SPREAD tasks."""
-    if hot is None:
-        return edges.join(values, "u")
     hot = F.broadcast(hot.withColumn("hot", F.lit(True)))
     edges = edges.join(hot, "u", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")).drop("hot")
     values = values.join(hot, "u", "left").withColumn("salt", F.explode(F.expr(f"if(hot, sequence(0, {SPREAD - 1}), array(0))"))).drop("hot")
@@ -247,30 +247,48 @@ def _hot_nodes(pairs: DataFrame, name: str, limit: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for undirected edges (a, b): each node's least connected node.
 
-    Rounds of large-star and small-star; every round ends in a written table, and only counts reach the driver.
-    A node with many neighbours (the limit grows with the edges, so that there are some thousands of them at most)
+    Rounds of large-star and small-star; every round ends in a written table, and only counts reach the driver.  Each
+    round leaves fewer pairs, one a node in the end; once there are LOCAL_PAIRS at most (16 bytes each), one task
+    finishes them.  A node with many neighbours (the limit grows with the edges, so that there are some thousands of them at most)
     does not meet them in one task.
     """
     edges = edges.where("a <> b")
     pairs = c.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = lambda: pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).agg(F.sum("n"), F.sum("h"), F.max("n")).first()
-    now = state()
-    while now[0]:
-        before, limit = now, max(HOT_DEGREE, int(now[0]) // HOT_DEGREE)
+    while (n := pairs.count()) > LOCAL_PAIRS:
+        limit = max(HOT_DEGREE, n // HOT_DEGREE)
         # large star: the larger neighbours of a node point to the least of its neighbourhood
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         up = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = _with_value(up, least, _hot_nodes(pairs, "v", limit) if now[2] > limit else None).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_value(up, least, _hot_nodes(pairs, "v", limit)).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours point to the least of them; after a large star these are few
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        pairs = c.cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = state()
-        if now[:2] == before[:2]:
+        after = c.cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if after.count() == n and not after.exceptAll(pairs).limit(1).count():  # the same pairs as before: all are stars
+            stars = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+        pairs = after
+    kind = pairs.schema["u"].dataType.simpleString()
+    return pairs.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(_least_connected, f"node {kind}, root {kind}")
+
+
+def _least_connected(table: pa.Table) -> pa.Table:
+    """The least connected node of each node of at most LOCAL_PAIRS pairs."""
+    kind = table.schema.field("u").type
+    u, v = (np.asarray(table.column(k)) if pa.types.is_integer(kind) else np.array(table.column(k).to_pylist(), object) for k in ("u", "v"))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = np.split(place.ravel(), 2)
+    root = np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(new, root[i], least)
+        np.minimum.at(new, root[j], least)
+        new = new[new]
+        if (new == root).all():
             break
-    stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+        root = new
+    return pa.table({"node": pa.array(nodes, kind), "root": pa.array(nodes[root], kind)})
 
 
 @lru_cache(maxsize=None)

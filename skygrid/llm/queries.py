@@ -54,6 +54,12 @@ def op8_rule_ledger(spark, sf_dir):
     return rule_ledger.judge(table(spark, sf_dir, "documents"))
 
 
+def rule_ablation(spark, sf_dir):
+    """For each source and rule of the policy: documents that fail it, and those that only this rule rejects."""
+    docs = table(spark, sf_dir, "documents").select("source", "text")
+    return rule_ledger.ablation(rule_ledger.ledger(docs).select("source", "fail_bits"), "v1", ["source"])
+
+
 def op9_token_rollups(spark, sf_dir):
     """Totals by source, language and tokenizer version after inserts, revisions, deletes, a redelivery and a compaction.
 
@@ -77,7 +83,7 @@ def op10_column_bwt(spark, sf_dir):
     return column_bwt.remove_repeated_bytes(table(spark, sf_dir, "documents"), 100)
 
 
-QUERIES = {f.__name__: f for f in (op1_piece_offsets, op2_warc_sharded, op3_order_minhash, op4_suffix_trees, op5_decontaminate, op6_line_chunks, op7_gam, op8_rule_ledger, op9_token_rollups, op10_column_bwt)}
+QUERIES = {f.__name__: f for f in (op1_piece_offsets, op2_warc_sharded, op3_order_minhash, op4_suffix_trees, op5_decontaminate, op6_line_chunks, op7_gam, op8_rule_ledger, op9_token_rollups, op10_column_bwt, rule_ablation)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -134,3 +140,8 @@ ORACLE_SQL = {
                    + CASE WHEN n_words > 1000000 THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 > 0 AS base_failed, fail_bits % 64 = 0 AS kept, fail_bits FROM f""",
 }
+
+ORACLE_SQL["rule_ablation"] = f"""
+        SELECT source, rule, count(*) FILTER (WHERE fail_bits & (1 << k) > 0) AS n_failed, count(*) FILTER (WHERE fail_bits & 63 = 1 << k) AS n_only
+        FROM ({ORACLE_SQL["op8_rule_ledger"]}) b JOIN documents d ON d.doc_id = b.doc_id
+        CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5])::BIGINT AS k, unnest(['few_words', 'repeated_windows', 'symbols', 'duplicate_lines', 'short_words', 'long_words']) AS rule) GROUP BY source, rule"""

@@ -142,6 +142,7 @@ def test_hot_nodes_are_spread(spark, monkeypatch):
     frame = spark.createDataFrame(edges, "a long, b long")
     want = {(r.node, r.root) for r in om.components(frame).collect()}
     monkeypatch.setattr(om, "HOT_DEGREE", 20)
+    monkeypatch.setattr(om, "LOCAL_PAIRS", 0)
     assert {(r.node, r.root) for r in om.components(frame).collect()} == want
     assert len(want) == 300 + 200 + 100 and {r for n, r in want} == {0, 1000}
 
