@@ -11,12 +11,14 @@ two texts share a sketch when they share the k-mers *and* their order: a measure
 3. Only 64-bit keys and nodes travel, packed, to the bucket of the key.  Texts that share a key are
    candidates.  Each key contributes a star around its least node, and the stars' connected components
    bound what can be similar; no pairs of a key are written.
-4. Each candidate text travels to the group of its component (a component too large for one task is dealt
+4. A component too large for one task is split first, without loss: similar texts share most of their word pairs, so
+   they share some of those that the fewest texts of the component have (``_finer``).
+5. Each candidate text travels to the group of its component (what is still too large for one task is dealt
    out in classes of length and blocks; blocks of one class or of neighbouring ones meet, and a text travels
    once for each of them).  Inside a group, texts are linked if their word
    edit distance is at most (1 - threshold) of the longer one, by banded alignment; a prefix filter on
    their rarest words finds the texts to compare, and texts already connected are not compared again.
-5. Components of the verified links are the classes.
+6. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
@@ -466,6 +468,196 @@ def _link_groups(threshold: float):
     return run
 
 
+#: Grams that two texts of a large component must have in common among their rarest ones.
+SHARED = 4
+#: Texts with a gram up to which its pairs are counted; those of a more frequent one stay together wherever their lengths allow.
+COUNTED = 64
+#: Bytes of words in a chunk of a large component, least number of buckets of rare grams, and postings whose pairs are made at once.
+CHUNK_BYTES, PAIR_BUCKETS, POSTINGS = 2 << 20, 12, 1 << 16
+
+
+def _gram_words(threshold: float) -> int:
+    """Words of a gram.  Texts of n and m words at distance d share max(n, m) - k + 1 - k * d grams of k words at least, occurrences labelled."""
+    return 2 if threshold >= 0.75 else 1
+
+
+@lru_cache(maxsize=None)
+def _rarest(n: int, threshold: float) -> int:
+    """Rarest grams of a text of n words: any similar text has SHARED of them among its own rarest (or all that they must share, if fewer)."""
+    k, most, m = _gram_words(threshold), 0, n
+    while m - n <= allowed(m, m, threshold):
+        most, m = max(most, n - m + k * allowed(m, m, threshold)), m + 1
+    return most + SHARED
+
+
+def _chunks(records):
+    """(chunk, bucket -1, data): numbers, components, lengths and compressed words of some texts."""
+    from pyspark import TaskContext
+
+    number, z, shut = TaskContext.get().partitionId() << 32, zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+    held, size = [], 0
+
+    def out():
+        nums, roots, texts = zip(*held)
+        head = np.array([len(nums), *nums, *roots, *map(len, texts)], np.int64).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([head + shut.compress(b"".join(texts))], pa.binary())], names=["chunk", "bucket", "data"])
+
+    for row in c.rows_of(records):
+        held.append((row["num"], row["root"], z.decompress(row["text"])))
+        size += len(held[-1][2])
+        if size >= CHUNK_BYTES:
+            yield out()
+            held, size, number = [], 0, number + 1
+    if held:
+        yield out()
+
+
+def _chunk_grams(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, words, grams, text of each gram) of a chunk; a gram is one of its component and of its occurrence in the text."""
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    nums, roots, lens = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+    b = c.Batch(0, nums, np.ones(n, bool), lens, zstandard.ZstdDecompressor().decompress(data[8 + 24 * n :]))
+    starts, ends, first = c.word_bounds(b, c.BLANK_WORD)
+    h = c.segment_hash(np.frombuffer(b.buf, np.uint8), starts, ends)
+    salts, grams = c.mix(roots.view(np.uint64)), []
+    for i in range(n):
+        g = c.mix(c.grams(h[first[i] : first[i + 1]], k))
+        grams.append(c.mix(g + occurrence_labels(g).astype(np.uint64) * c.U64(0x9E6C63D0876A9A47) ^ salts[i]))
+    return nums, np.diff(first), np.concatenate(grams), np.repeat(np.arange(n), [len(g) for g in grams])
+
+
+def _send_grams(buckets: int, k: int):
+    def run(records):
+        for row in c.rows_of(records):
+            c.release()
+            grams, count = np.unique(_chunk_grams(row["data"], k)[2], return_counts=True)
+            parts = [(i, grams[at].tobytes() + count[at].astype(np.uint32).tobytes()) for i, at in split_by(bucket_of(grams, buckets), buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "bucket", "data"])
+
+    return run
+
+
+def _count_grams(table: pa.Table) -> pa.Table:
+    """How many texts have each gram, in the order in which each chunk has sent them."""
+    data = [x.as_py() for x in table.column("data")]
+    size = [len(x) // 12 for x in data]
+    grams = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(data, size)])
+    count = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(data, size)])
+    inverse = np.unique(grams, return_inverse=True)[1].ravel()
+    total = np.minimum(np.bincount(inverse, weights=count), 2**32 - 1).astype(np.uint32)[inverse]
+    edges = np.concatenate([[0], np.cumsum(size)])
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array([total[a:z].tobytes() for a, z in zip(edges, edges[1:])], pa.binary())})
+
+
+def _rare_grams(buckets: int, pair_buckets: int, threshold: float):
+    """The rarest grams of each text of a chunk, without those that no other text has, to the bucket of the gram."""
+    k = _gram_words(threshold)
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = dict(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist()))
+        nums, words, grams, text = _chunk_grams(counts[-1], k)
+        sent, inverse = np.unique(grams, return_inverse=True)
+        count = np.zeros(len(sent), np.uint32)
+        for i, at in split_by(bucket_of(sent, buckets), buckets):
+            count[at] = np.frombuffer(counts[i], np.uint32)
+        count = count[inverse.ravel()]
+        by = np.lexsort((grams, count, text))
+        grams, count, text = grams[by], count[by], text[by]
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        rarest = np.array([_rarest(int(n), threshold) for n in words], np.int64)
+        keep = (place < rarest[text]) & (count > 1)
+        grams, text = grams[keep], text[keep]
+        by = np.argsort(grams, kind="stable")
+        grams, text = grams[by], text[by]
+        parts = [(i, grams[at].tobytes() + nums[text[at]].tobytes() + words[text[at]].astype(np.int64).tobytes()) for i, at in split_by(bucket_of(grams, pair_buckets), pair_buckets)]
+        return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "data": pa.array([x for _, x in parts], pa.binary())})
+
+    return run
+
+
+def _sum_pairs(a: np.ndarray, b: np.ndarray, shared: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with the sum of what it shares."""
+    by = np.lexsort((b, a))
+    a, b, shared, needed = a[by], b[by], shared[by], needed[by]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[begin], b[begin], np.add.reduceat(shared, begin) if len(a) else shared, needed[begin]
+
+
+def _gram_pairs(threshold: float):
+    """Pairs of texts that share rare grams: how many, and how many they have to share; a tree for those that share enough in one bucket."""
+    k = _gram_words(threshold)
+
+    def most(n: np.ndarray) -> np.ndarray:
+        return ((1 - threshold) * n + 1e-9).astype(np.int64)
+
+    def pairs(grams: np.ndarray, nums: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        new = np.concatenate([[True], grams[1:] != grams[:-1]])
+        group = np.cumsum(new) - 1
+        few = np.bincount(group)[group] <= COUNTED
+        out, off = [], 1
+        while off < len(grams):
+            same = group[off:] == group[:-off]
+            counted = same & few[off:]
+            if off > 1 and not counted.any():
+                break
+            # texts with a frequent gram stand in order of their words: neighbours connect all whose lengths allow it
+            take = (counted | (same & (off == 1))) & (words[off:] - words[:-off] <= most(words[off:]))
+            a, b, longer = nums[:-off][take], nums[off:][take], words[off:][take]
+            needed = np.clip(longer - k + 1 - k * most(longer), 1, SHARED)
+            out.append((np.minimum(a, b), np.maximum(a, b), np.where(few[off:][take], 1, SHARED), needed))
+            off += 1
+        return _sum_pairs(*map(np.concatenate, zip(*out))) if out else (nums[:0],) * 4
+
+    def run(table: pa.Table) -> pa.Table:
+        data = [np.frombuffer(x.as_py(), np.int64) for x in table.column("data")]
+        grams, nums, words = (np.concatenate([x.reshape(3, -1)[i] for x in data]) for i in range(3))
+        del data
+        by = np.lexsort((nums, words, grams))
+        grams, nums, words = grams[by], nums[by], words[by]
+        out, at = [], 0
+        while at < len(grams):
+            stop = int(np.searchsorted(grams, grams[min(at + POSTINGS, len(grams)) - 1], "right"))
+            out.append(pairs(grams[at:stop], nums[at:stop], words[at:stop]))
+            at = stop
+        a, b, shared, needed = _sum_pairs(*map(np.concatenate, zip(*out)))
+        # pairs that share enough here are connected by as few as do; others inside what they connect say nothing new
+        sure = shared >= needed
+        tree = forest(a[sure], b[sure])
+        tree = tree[np.argsort(tree[:, 0])]
+
+        def top(x: np.ndarray) -> np.ndarray:
+            if not len(tree):
+                return x
+            at = np.minimum(np.searchsorted(tree[:, 0], x), len(tree) - 1)
+            return np.where(tree[at, 0] == x, tree[at, 1], x)
+
+        rest = ~sure & (top(a) != top(b))
+        enough = np.full(len(tree), SHARED)
+        cells = [tree[:, 1], a[rest]], [tree[:, 0], b[rest]], [enough, shared[rest]], [enough, needed[rest]]
+        return pa.table(dict(zip(("a", "b", "shared", "needed"), (pa.array(np.concatenate(x), pa.int64()) for x in cells))))
+
+    return run
+
+
+def _finer(texts: DataFrame, n_bytes: int, threshold: float) -> DataFrame:
+    """(node, root) of texts (num, root, text) of large components: similar texts of a component stay together, texts without a partner are left out.
+
+    Each text's grams are ordered by the number of texts that have them.  Two similar texts share so many grams that SHARED of
+    them are among the rarest ones of both.  Counts travel by gram and back to the chunk of texts; then only the rarest grams that
+    another text has too travel again.  Pairs with enough of them in common are connected.
+    """
+    k = _gram_words(threshold)
+    buckets = max(BUCKETS, math.ceil(n_bytes / 5 * 12 / BUCKET_BYTES))
+    pair_buckets = max(PAIR_BUCKETS, math.ceil(n_bytes * 0.6 / BUCKET_BYTES))
+    packed = "chunk long, bucket int, data binary"
+    chunks = c.cut(texts.mapInArrow(_chunks, packed), "chunks")
+    counts = chunks.mapInArrow(_send_grams(buckets, k), packed).groupBy("bucket").applyInArrow(_count_grams, packed)
+    rare = chunks.unionByName(counts).groupBy("chunk").applyInArrow(_rare_grams(buckets, pair_buckets, threshold), "bucket int, data binary")
+    pairs = rare.groupBy("bucket").applyInArrow(_gram_pairs(threshold), "a long, b long, shared long, needed long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where("shared >= needed")
+    return components(pairs.select("a", "b"))
+
+
 #: Digests of texts that a task remembers, so that it sends copies once.
 SEEN = 200_000
 
@@ -518,6 +710,17 @@ def near_duplicates(
     candidates = components(stars).withColumnRenamed("node", "nid")
     # joins are told to shuffle, so that small and large inputs run the same plan
     sized = c.cut(nodes.join(candidates.hint("shuffle_hash"), "nid").select("num", "node", "root", "n_bytes", "n_words", "doc_id"), "candidates")
+    # only the row that stands for a candidate sends its text; should rows repeat, the group drops the others
+    texts = _compressed_texts(docs, id_name, text_name)
+    named = sized.select("num", "node", F.col("doc_id").alias("chosen"))
+    picked = texts.join(named.hint("shuffle_hash"), (texts["node"] == named["node"]) & texts["doc_id"].eqNullSafe(F.col("chosen"))).select("num", "text")
+    large = sized.groupBy("root").agg(F.sum("n_bytes").alias("bytes")).where(F.col("bytes") >= group_bytes)
+    if 0.5 <= threshold <= 1 and (n_bytes := large.agg(F.sum("bytes")).first()[0]):
+        picked = c.cut(picked, "texts")
+        parts = sized.join(large.select("root", F.lit(True).alias("large")), "root", "left")
+        finer = _finer(picked.join(parts.where("large").select("num", "root").hint("shuffle_hash"), "num"), n_bytes, threshold)
+        split = parts.where("large").drop("root").join(finer.withColumnRenamed("node", "num").hint("shuffle_hash"), "num")
+        sized = c.cut(parts.where("large is null").unionByName(split).select(sized.columns), "finer")
     shares = sized.groupBy("root").agg((F.sum("n_bytes") / group_bytes).cast("long").alias("more"))
     # similar texts are of one class of length or of neighbouring ones
     step = 1e-6 - math.log(threshold) if 0 < threshold <= 1 else math.inf
@@ -532,10 +735,6 @@ def near_duplicates(
         "transform(sequence(0L, others), x -> if(to = 0, struct(least(x, block) as i, greatest(x, block) as j, if(x < block, 1, 0) as side), if(to > 0, struct(block as i, x as j, 0 as side), struct(x as i, block as j, 1 as side))))"
     )).alias("g"))
     groups = groups.select("num", "root", "low", "mixed", "g.i", "g.j", "g.side").distinct()
-    # only the row that stands for a candidate sends its text; should rows repeat, the group drops the others
-    texts = _compressed_texts(docs, id_name, text_name)
-    named = sized.select("num", "node", F.col("doc_id").alias("chosen"))
-    picked = texts.join(named.hint("shuffle_hash"), (texts["node"] == named["node"]) & texts["doc_id"].eqNullSafe(F.col("chosen"))).select("num", "text")
     sent = picked.join(groups.hint("shuffle_hash"), "num")
     links = sent.groupBy("root", "low", "mixed", "i", "j").applyInArrow(_link_groups(threshold), "a long, b long")
     classes = components(c.cut(links, "links")).withColumnRenamed("node", "num").withColumnRenamed("root", "of")

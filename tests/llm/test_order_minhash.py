@@ -191,3 +191,76 @@ def test_recall_at_the_threshold():
                     met += bool(len(np.intersect1d(x >> np.uint64(1), y >> np.uint64(1))))
                     total += 1
                 assert met >= (1 if min(len(a), len(b)) <= om.SHORT else 0.9) * total, (n, share, kind, met, total)
+
+
+def test_similar_texts_of_a_large_component_stay_together(monkeypatch):
+    import pyarrow as pa
+    import pyarrow.compute
+    import zstandard
+
+    rng = random.Random(11)
+    z = zstandard.ZstdCompressor()
+    for threshold, counted in ((0.8, 64), (0.8, 2), (0.75, 3), (0.6, 4), (1.0, 64)):
+        monkeypatch.setattr(om, "COUNTED", counted)
+        k, word = om._gram_words(threshold), lambda: rng.choice("abcdefghij") + rng.choice("klmn")
+        texts = []
+        for _ in range(60):
+            ws = [word() for _ in range(rng.randint(1, 70))]
+            texts.append(ws)
+            for _ in range(2):  # copies near the limit
+                other = list(ws)
+                for _ in range(int((1 - threshold) * len(ws))):
+                    at = rng.randrange(len(other) + 1)
+                    other[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+                texts.append(other or [word()])
+        rows = [{"num": i, "root": i % 2, "text": z.compress(" ".join(t).encode())} for i, t in enumerate(texts)]
+        with monkeypatch.context() as m:
+            m.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 1})())
+            m.setattr(om, "CHUNK_BYTES", 3000)
+            chunks = list(om._chunks([pa.RecordBatch.from_pylist(rows)]))
+        assert len(chunks) > 3
+        by = lambda parts, name: [t.filter(pa.compute.equal(t[name], x)) for t in [pa.Table.from_batches(parts) if isinstance(parts[0], pa.RecordBatch) else pa.concat_tables(parts)] for x in t[name].unique()]
+        sent = by(list(om._send_grams(5, k)(chunks)), "bucket")
+        replies = pa.concat_tables([om._count_grams(t) for t in sent] + [pa.Table.from_batches(chunks)])
+        rare = [om._rare_grams(5, 3, threshold)(t) for t in by([replies], "chunk")]
+        shared: dict = {}
+        for t in by(rare, "bucket"):
+            for x in om._gram_pairs(threshold)(t).to_pylist():
+                n, _ = shared.get((x["a"], x["b"]), (0, 0))
+                shared[x["a"], x["b"]] = n + x["shared"], x["needed"]
+        parent = list(range(len(texts)))
+        root = lambda i: i if parent[i] == i else root(parent[i])
+        for (a, b), (n, needed) in shared.items():
+            if n >= needed:
+                parent[root(a)] = root(b)
+        similar = [(i, j) for i, a in enumerate(texts) for j in range(i % 2, i, 2) if a != texts[j] and distance(a, texts[j]) <= om.allowed(len(a), len(texts[j]), threshold)]
+        assert len(similar) > 10 or threshold == 1
+        assert all(root(i) == root(j) for i, j in similar)
+
+
+def test_a_large_component_sends_its_texts_about_once(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(150):  # texts that share a passage and no more, every third with a near copy
+        ws = [word() for _ in range(50)] + passage + [word() for _ in range(50)]
+        rows.append((2 * i, " ".join(ws)))
+        if i % 3 == 0:
+            ws[7] = ws[90] = word()
+            rows.append((2 * i + 1, " ".join(ws)))
+    sent, real = spark.sparkContext.accumulator(0), om._link_groups
+
+    def counting(threshold):
+        run = real(threshold)
+
+        def link(table):
+            sent.add(table.num_rows)
+            return run(table)
+
+        return link
+
+    monkeypatch.setattr(om, "_link_groups", counting)
+    got = {d: x for d, x in om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=8000).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+    assert 0 < sent.value <= 2 * len(rows)
