@@ -160,7 +160,8 @@ def resample(
     data = raster.dense() if boundary_mode in ("constant", "grid-constant", "ignore_threshold") or bad_value_mode != "ignore" else raster.pixels
     right = data.select("plane", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("value").alias("v"), F.lit(True).alias("there"))
     planes = raster.pixels.select("plane").distinct()
-    joined = boxed.where(inner).join(right, ["sy", "sx"])
+    # the optimiser takes boxes for as small as the target: without the hint it broadcasts their pixels through the driver
+    joined = boxed.where(inner).join(right.hint("merge"), ["sy", "sx"])
     if boundary_mode in ("constant", "grid-constant", "ignore_threshold"):
         fill = F.lit(float(boundary_fill_value)) if boundary_mode != "ignore_threshold" else F.lit(None).cast("double")
         joined = joined.unionByName(boxed.where(~inner).join(planes).withColumns({"v": fill, "there": F.lit(False)}))

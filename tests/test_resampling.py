@@ -118,6 +118,15 @@ def test_adaptive_bad_values_and_cycles(spark):
     assert np.allclose(out[4], np.roll(ring[4], -4))
 
 
+@pytest.mark.parametrize("options", [{"kernel": "gaussian"}, {"kernel": "hann"}, {"kernel": "hann", "boundary_mode": "ignore", "bad_value_mode": "ignore"}, {"kernel": "hann", "boundary_mode": "ignore_threshold"}])
+def test_pixels_of_the_boxes_do_not_pass_the_driver(spark, options):
+    """A small target's boxes hold many pixels, which the optimiser does not know: they are never broadcast."""
+    image = spark.range(4_000_000).selectExpr("id div 2000 as y", "id % 2000 as x", "1.0D as value")
+    out = adaptive.resample(Raster.of(image, LINEAR, (2000, 2000)), Grid(Wcs((1.0, 1.0), (10.0, 10.0), (4.5, 4.5)), (200, 200)), **options)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [sy" in plan and "BroadcastHashJoin [sy" not in plan
+
+
 def test_quads_overlap():
     e = math.radians(0.01)
     lon, lat = np.array([[0, e, e, 0]]), np.array([[0, 0, e, e]])
