@@ -51,17 +51,20 @@ def sky_positions(spark: SparkSession, nside: int, nested: bool) -> DataFrame:
     return hp.positions(pixels, F.col("ipix"), nside, nested)
 
 
-def positions_in(places: DataFrame, raster: Raster, frame: str) -> DataFrame:
-    """Places with lon and lat in a frame, and their position (xi, yi) in an image."""
+def positions_in(places: DataFrame, raster: Raster, frame: str, cut: float | None = None) -> DataFrame:
+    """Places with lon and lat in a frame, and their position (xi, yi) in an image, cut at a native longitude."""
     i, j = raster.wcs.celestial
-    out = from_sky(places.withColumns({f"s_w{i}": F.col("lon"), f"s_w{j}": F.col("lat")}), raster.wcs, ["s"], frame_name(frame))
+    out = from_sky(places.withColumns({f"s_w{i}": F.col("lon"), f"s_w{j}": F.col("lat")}), raster.wcs, ["s"], frame_name(frame), cut)
     out = out.withColumnsRenamed({"s_w0": "xi", "s_w1": "yi"})
     bad = F.col("xi").isNull() | F.col("yi").isNull() | F.isnan("xi") | F.isnan("yi")
     return bind(out, {k: F.when(~bad, F.col(k)) for k in ("xi", "yi")})
 
 
-def image_to_healpix(raster: Raster, frame: str, nside: int = 128, order: str | int = "bilinear", nested: bool = False) -> DataFrame:
-    """Resample a two-dimensional celestial image onto a map: ipix, value, footprint of every pixel."""
+def image_to_healpix(raster: Raster, frame: str, nside: int = 128, order: str | int = "bilinear", nested: bool = False, cut: float | None = None) -> DataFrame:
+    """Resample a two-dimensional celestial image onto a map: ipix, value, footprint of every pixel.
+
+    The image's native longitudes begin at -180 degrees, or at ``cut``.
+    """
     if raster.wcs.naxis != 2 or not raster.wcs.has_celestial:
         raise ValueError("only two-dimensional celestial images can be made into a map")
     k = order_number(order)
@@ -69,7 +72,7 @@ def image_to_healpix(raster: Raster, frame: str, nside: int = 128, order: str |
     spark = raster.pixels.sparkSession
     sky = sky_positions(spark, nside, nested)
     data = raster.pixels if k < 2 else spline_coefficients(raster, k)
-    hits = sample(positions_in(sky, raster, frame), data, raster.shape, k, keys=("ipix",))
+    hits = sample(positions_in(sky, raster, frame, cut), data, raster.shape, k, keys=("ipix",))
     out = spark.range(hp.npix(nside)).withColumnRenamed("id", "ipix").join(hits.select("ipix", "value"), "ipix", "left")
     return out.select("ipix", "value", F.col("value").isNotNull().cast("double").alias("footprint"))
 

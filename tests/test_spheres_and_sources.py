@@ -255,3 +255,18 @@ def test_parsed_paths_in_two_and_three_dimensions(spark):
     paths = spark.createDataFrame([("Norder7/Dir10000/Npix12345.fits",), ("Norder7_4/Dir10000_10/Npix12345_17.fits",)], "path string")
     got = paths.select(*[v.alias(k) for k, v in hips.parse_path(F.col("path")).items()]).collect()
     assert [(r.norder, r.npix, r.forder, r.fpix) for r in got] == [(7, 12345, None, None), (7, 12345, 4, 17)]
+
+
+@pytest.mark.parametrize("name", ["image_to_hpx_nearest"])
+def test_map_of_the_events_begins_at_longitude_zero(spark, name):
+    """Cells just below 360 degrees are not in the image's first column, as in SQL."""
+    import duckdb
+
+    from skygrid.plans import queries
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    expected = con.execute(f"SELECT ipix FROM ({queries.ORACLE_SQL[name]}) WHERE footprint = 1").fetchall()
+    got = queries.QUERIES[name](spark, sf).where("footprint = 1").select("ipix").collect()
+    assert len(expected) > 10000 and sorted(r[0] for r in got) == sorted(r[0] for r in expected)
